@@ -68,3 +68,24 @@ def op8_chat_formatting(spark, sf_dir):
     out = out.select("conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"), read_back(F.col("formatted")).alias("turns"), F.array_join(under_loss(F.col("formatted"), F.col("loss")), "").alias("under"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("under").cast("bigint").alias("loss_chars"), F.sha2("under", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@register("op2_packing")
+def op2_packing(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sparkferry.llm.packing import pack
+
+    out = pack(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("piece_start").alias("start"), F.col("piece_length").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
+
+
+@register("op3_tree_bpe")
+def op3_tree_bpe(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sparkferry.llm.tree_bpe import decode, encode
+
+    ids = encode(table(spark, sf_dir, "documents"))
+    out = decode(ids, keep=("doc_id", "ids"))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
