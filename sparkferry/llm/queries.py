@@ -89,3 +89,28 @@ def op3_tree_bpe(spark, sf_dir):
     ids = encode(table(spark, sf_dir, "documents"))
     out = decode(ids, keep=("doc_id", "ids"))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op6_ogg_media")
+def op6_ogg_media(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sparkferry.llm.ogg import read_media, to_media
+
+    back = read_media(to_media(table(spark, sf_dir, "documents")), keep=("doc_id", "media"))
+    return back.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
+@register("op9_secret_scans")
+def op9_secret_scans(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sparkferry.llm.secrets import BASE, scan
+
+    out = scan(table(spark, sf_dir, "documents"))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return out.select("doc_id", *counts, F.sha2(line(F.filter("spans", lambda s: s["kind"].isin(*BASE))), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
