@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -64,3 +65,29 @@ def text_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(buffers[1], np.int64, n + 1, at * 8) if n else np.zeros(1, np.int64)
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
     return data, offsets
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; one of this machine's only where none is named."""
+    context = spark.sparkContext
+    if (named := context._jsc.sc().getCheckpointDir()).isDefined():
+        return named.get()
+    folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkferry_shared_")
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+class Held:
+    """A table written to the shared folder and read again: it cuts lineage, and a lost executor loses nothing of it."""
+
+    def __init__(self, df: DataFrame):
+        spark = df.sparkSession
+        self.path = f"{shared_folder(spark)}/sparkferry-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        """Deletes the table; nothing that reads it may be left to run."""
+        context = self.df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -112,5 +112,17 @@ def op9_secret_scans(spark, sf_dir):
 
     out = scan(table(spark, sf_dir, "documents"))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(k).alias(f"n_{k}") for k in BASE]
     return out.select("doc_id", *counts, F.sha2(line(F.filter("spans", lambda s: s["kind"].isin(*BASE))), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+@register("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sparkferry.llm.lang_id import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, learn(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
