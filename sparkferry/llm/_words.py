@@ -50,8 +50,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverses
 
 
-def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = LETTERS, stem: int = 0) -> tuple[np.ndarray, ...]:
     """(text, start, end, hash) of each word: runs of letters within a text, by place. Starts and ends count from offsets[0].
+    With `stem`, a fifth array has the hashes of the words' first so many bytes.
 
     A word's hash is its polynomial modulo 2^64 over mixed byte values, mixed: equal words have equal hashes anywhere.
     """
@@ -60,7 +61,7 @@ def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = LETTERS)
     n = len(seg)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
+        return (none, none, none, *[np.zeros(0, np.uint64)] * (1 + bool(stem)))
     inside = seg > 0
     edge = np.zeros(n + 1, bool)
     edge[(offsets - low)] = True  # between these no word goes on
@@ -70,6 +71,8 @@ def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = LETTERS)
     stops[:-1] &= ~inside[1:] | edge[1:n]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     hashes = np.empty(len(starts), np.uint64)
+    cut = np.minimum(ends, starts + stem) if stem else ends
+    stems = np.empty(len(starts), np.uint64) if stem else hashes
     i = 0
     while i < len(starts):
         base = starts[i]
@@ -80,9 +83,11 @@ def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = LETTERS)
         sums[0] = 0
         np.cumsum(VALUES[chunk] * power[: len(chunk)], out=sums[1:])
         hashes[i:j] = (sums[ends[i:j] - base] - sums[starts[i:j] - base]) * inverse[starts[i:j] - base]
+        if stem:
+            stems[i:j] = (sums[cut[i:j] - base] - sums[starts[i:j] - base]) * inverse[starts[i:j] - base]
         i = j
     text = np.searchsorted(offsets - low, starts, "right") - 1
-    return text, starts, ends, mix(hashes)
+    return (text, starts, ends, mix(hashes), *([mix(stems)] if stem else []))
 
 
 def hash_words(listed: list[str]) -> np.ndarray:

@@ -126,3 +126,15 @@ def op4_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, learn(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@register("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sparkferry.llm.lang_id import held_out
+    from sparkferry.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
