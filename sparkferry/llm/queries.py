@@ -138,3 +138,10 @@ def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = score(docs, learn(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@register("op7_probminhash_near_dup")
+def op7_probminhash_near_dup(spark, sf_dir):
+    from sparkferry.llm.near_dup import grouped
+
+    return grouped(table(spark, sf_dir, "documents"))
