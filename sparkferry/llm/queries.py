@@ -145,3 +145,10 @@ def op7_probminhash_near_dup(spark, sf_dir):
     from sparkferry.llm.near_dup import grouped
 
     return grouped(table(spark, sf_dir, "documents"))
+
+
+@register("op5_cover_tree_near_dup")
+def op5_cover_tree_near_dup(spark, sf_dir):
+    from sparkferry.llm.embed_dup import grouped
+
+    return grouped(table(spark, sf_dir, "embeddings"))
