@@ -219,20 +219,8 @@ def _cross_pairs(rows: DataFrame, similar: float, metric: bool) -> DataFrame:
     return rows.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").where("a < b").distinct()
 
 
-def grouped(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = (), similar: float = SIMILAR, counted: bool = False) -> DataFrame:
-    """A row for each row: the key, kept columns (the text among them, if named), class_id (the smallest key of the rows with the same shingle
-    set), component_id (the smallest key that links of at least `similar` lead to), n_class (rows of its class) and kept
-    (true for one row of each component: the one of the smallest key).
-
-    Words are runs of ASCII letters and digits, underscores and all other alphabets' characters, in lower case. Texts
-    without a word are alike if they are equal. Null and empty texts link with nothing: each is kept, its ids are its
-    own key. Null keys come after others, and repeated rows are copies of each other; an empty table gives an empty one;
-    other columns may have any name. counted: shingles weigh their count, and similarity is the probability Jaccard.
-    """
-    ship(df.sparkSession)
-    names = {f"k{i}": k for i, k in enumerate(keep)}
-    signed = Held(_signed(pick(df, id=key, text__=text, **names), counted))
-    h = signed.df
+def _groups(h: DataFrame, similar: float, counted: bool) -> DataFrame:
+    """For each key (a shingle set) of signed rows: n (its rows), class_id, component_id, and the rid of the component's row that stays."""
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
     classes = Held(
         h.where(F.col("key").isNotNull()).groupBy("key").agg(first.alias("rep"), F.count("*").alias("n"), F.first(F.struct(F.col("n").alias("size"), "bands")).alias("s"))
@@ -290,10 +278,37 @@ def grouped(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[
 
     of_class = rooted(classes.df.select("node", "none", "id", "n", "key"), "node", "root")
     best = of_class.groupBy("root").agg(F.min(F.struct("none", "id", "node")).alias("best"))
-    of_class = of_class.join(best, "root").select("key", F.col("id").alias("class_id"), F.col("n").alias("n_class"), F.col("best.id").alias("component_id"), F.col("best.node").alias("keeper"))
-    out = h.select("rid", "id", "key", *names).join(of_class, "key", "left") if "text__" not in names else h.join(of_class, "key", "left")
-    alone = F.col("key").isNull()
-    return out.select(
-        F.col("id").alias(key), *[F.col(k).alias(v) for k, v in names.items()], F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"), (alone | (F.col("keeper") == F.col("rid"))).alias("kept"),
-    )
+    return of_class.join(best, "root").select("key", "n", F.col("id").alias("class_id"), F.col("best.id").alias("component_id"), F.col("best.node").alias("keeper"))
+
+
+def grouped(df: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR, counted: bool = False) -> DataFrame:
+    """A row for each row: the key, class_id (the smallest key of the rows with the same shingle set), component_id (the
+    smallest key that links of at least `similar` lead to), n_class (rows of its class) and kept (true for one row of each
+    component: the one of the smallest key).
+
+    Words are runs of ASCII letters and digits, underscores and all other alphabets' characters, in lower case. Texts
+    without a word are alike if they are equal. Null and empty texts link with nothing: each is kept, its ids are its
+    own key. Null keys come after others, and repeated rows are copies of each other; an empty table gives an empty one;
+    other columns may have any name. counted: shingles weigh their count, and similarity is the probability Jaccard.
+    """
+    ship(df.sparkSession)
+    h = Held(_signed(pick(df, id=key, text__=text), counted)).df
+    classes = _groups(h, similar, counted)
+    alike = join_hubs(h.where(F.col("key").isNotNull()).select("id", "rid", "key"), classes, "key", h.count())
+    alike = alike.select(F.col("id").alias(key), "class_id", "component_id", F.col("n").alias("n_class"), (F.col("keeper") == F.col("rid")).alias("kept"))
+    alone = h.where(F.col("key").isNull()).select(F.col("id").alias(key), F.col("id").alias("class_id"), F.col("id").alias("component_id"), F.lit(1).cast("long").alias("n_class"), F.lit(True).alias("kept"))
+    return alike.unionByName(alone)
+
+
+def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR, counted: bool = False) -> DataFrame:
+    """The rows of df that `grouped` would keep, with all columns."""
+    ship(df.sparkSession)
+    names = {f"k{i}": c for i, c in enumerate(df.columns)}
+    places = {c: k for k, c in names.items()}
+    wide = pick(df, **names).withColumns({"id": F.col(places[key]), "text__": F.col(places[text])})
+    h = Held(_signed(wide.drop(places[text]), counted)).df
+    keepers = Held(_groups(h, similar, counted).select(F.col("keeper").alias("rid")).distinct())
+    few = keepers.df.count() <= BROADCAST_ROWS
+    alike = h.where(F.col("key").isNotNull()).join(F.broadcast(keepers.df) if few else keepers.df, "rid", "left_semi")
+    kept = alike.unionByName(h.where(F.col("key").isNull()))
+    return kept.select(*[F.col("text__" if c == text else k).alias(c) for k, c in names.items()])
