@@ -8,6 +8,7 @@ long document is cut where it lies, so no key can be hot.
 
 from __future__ import annotations
 
+import functools
 import gc
 import os
 import struct
@@ -15,20 +16,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkferry.llm._frames import pick, ship, slices
+from sparkferry.llm._split import Known, splitter
 
 SEQUENCE = 1024
 #: A sequence id holds, from the top: the length's power, the partition, the count in the partition.
 POWER_SHIFT, PARTITION_SHIFT = 58, 36
-#: Distinct words whose ids a worker remembers, then it forgets them all.
-CACHED_WORDS = 1_000_000
-#: How byte-level tokenizers of this kind split text before their merges; a fixed value.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Distinct words whose ids a worker remembers; beyond that it forgets them all.
+CACHED_WORDS = 600_000
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others 256 and up in order.
+BYTE_CHARACTERS = {b: chr(b if b in _SHOWN else 256 + b - sum(s < b for s in _SHOWN)) for b in range(256)}
 PIECES = "piece_start long, piece_length long, ids binary, doc_tokens long, sequence_id long, bucket int"
 
 
@@ -39,37 +41,39 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts by a byte-level tokenizers file, equal to encode(text, add_special_tokens=False).ids.
+    """Ids of texts by a byte-level tokenizers file, equal to encode(text, add_special_tokens=False).ids, as little-endian
+    unsigned 32-bit.
 
-    Words (the tokenizer's own split, made beforehand) are encoded once and remembered; a text that has the string of an
-    added token, or a tokenizer with a normalizer or another split, goes through the tokenizer whole.
+    Words (the tokenizer's own split, made beforehand) go through the tokenizer's model once and are remembered; a text that
+    has the string of an added token, or a tokenizer with a normalizer or another split, goes through the tokenizer whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.set_threshold(200_000, 20, 20)  # the table holds no cycles; looking through it often is what costs
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        self.known: dict[str, bytes] = {}
-        gc.set_threshold(200_000, 20, 20)  # the tables hold no cycles; looking through them often is what costs
         self.added = [x.content for x in t.get_added_tokens_decoder().values()]
         self.simple = t.normalizer is None and str(t.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in str(t.pre_tokenizer)
-        self.split = regex.compile(PATTERN).findall
+        self.split, self.known = splitter(), Known(self.word, CACHED_WORDS)
+
+    def word(self, word: str) -> bytes:
+        got = [x.id for x in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARACTERS))]
+        return struct.pack(f"<{len(got)}I", *got)
 
     def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
         if not self.simple or any(x in text for x in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = self.split(text), self.known
-        if new := list(set(words).difference(known)):
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        out = b"".join(map(known.__getitem__, words))
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        return out
+        return self.known.joined(self.split(text))
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """A worker's own encoder, which its later tasks use again."""
+    return Encoder(path)
 
 
 def piece_lengths(n: int, most: int = SEQUENCE) -> list[int]:
@@ -99,7 +103,7 @@ def pack(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
         from pyspark import TaskContext
 
         end = struct.pack("<I", end_id)
-        encode, part, count = Encoder(path), TaskContext.get().partitionId() if TaskContext.get() else 0, 0
+        encode, part, count = encoder(path), TaskContext.get().partitionId() if TaskContext.get() else 0, 0
         for whole in batches:
             for batch in slices(whole, "text__"):
                 row, start, length, ids, total, sequence = [], [], [], [], [], []
