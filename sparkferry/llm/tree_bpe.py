@@ -17,21 +17,22 @@ Results of words, halves and seams are remembered in a bounded table. Documents
 from __future__ import annotations
 
 import base64
+import functools
 import gc
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkferry.llm._frames import pick, ship, slices
+from sparkferry.llm._split import Known, splitter
 
-#: Remembered results in a worker, of parts and of whole words; beyond that it forgets them all.
-CACHED, CACHED_WORDS = 250_000, 600_000
+#: Remembered results in a worker, of halves and windows, and of words; beyond that it forgets them all.
+CACHED, CACHED_WORDS = 100_000, 300_000
 PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: Tokens whose bytes are joined directly, below which a decoding tree has no more branches.
 LEAF_TOKENS = 4096
@@ -52,14 +53,14 @@ class TreeBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.longest = max(map(len, ranks), default=1)
         self.seams: dict[tuple[int, int], bool] = {}
         self.none = max(ranks.values(), default=0) + 1
         self.windows: dict[bytes, tuple[int, ...]] = {}
         gc.set_threshold(200_000, 20, 20)  # the tables hold no cycles; looking through them often is what costs
         self.small: dict[bytes, tuple[int, ...]] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Known(self.word, CACHED_WORDS)
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """The leaf step, for windows of a few tokens: the lowest-ranked neighbours merge, the leftmost first, until none can."""
@@ -134,16 +135,13 @@ class TreeBPE:
             return got
         return self.join(self.encode_bytes(data[: n // 2]), self.encode_bytes(data[n // 2 :]))
 
+    def word(self, word: str) -> bytes:
+        ids = self.encode_bytes(word.encode())
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit: each match of the pattern by itself."""
-        words, known = self.split(text), self.words
-        for w in set(words).difference(known):
-            ids = self.encode_bytes(w.encode())
-            known[w] = PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes()
-        out = b"".join(map(known.__getitem__, words))
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        return out
+        return self.words.joined(self.split(text))
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of ids: leaves are joined directly, then neighbours are concatenated up the tree. An unknown id raises KeyError."""
@@ -153,6 +151,12 @@ class TreeBPE:
         return level[0] if level else b""
 
 
+@functools.cache
+def coder(path: str, pattern: str) -> TreeBPE:
+    """A worker's own tables, which its later tasks use again."""
+    return TreeBPE(read_ranks(path), pattern)
+
+
 def _mapped(df: DataFrame, column: str, keep: tuple[str, ...], fields: str, work, path: str, pattern: str) -> DataFrame:
     ship(df.sparkSession)
     rows = pick(df, in__=column, **{f"k{i}": k for i, k in enumerate(keep)})
@@ -160,7 +164,7 @@ def _mapped(df: DataFrame, column: str, keep: tuple[str, ...], fields: str, work
     schema = T.StructType(kept + T._parse_datatype_string(fields).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = TreeBPE(read_ranks(path), pattern)
+        bpe = coder(path, pattern)
         for whole in batches:
             for batch in slices(whole, "in__") if pa.types.is_string(whole.schema.field("in__").type) or pa.types.is_large_string(whole.schema.field("in__").type) else [whole]:
                 made = work(bpe, batch.column("in__").to_pylist())
