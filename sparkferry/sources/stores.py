@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkferry.functions.names import is_system_table, quote
 from sparkferry.plans.model import Column, Table
-from sparkferry.sources import sqlite_catalog
+from sparkferry.sources import jdbc_catalog, sqlite_catalog
 
 
 def with_retries(work: Callable, retries: int = 3, wait: float = 5.0, sleep: Callable[[float], None] = time.sleep):
@@ -125,7 +125,7 @@ class ParquetStore(Store):
 
 
 class JdbcStore(Store):
-    """A database by JDBC. Reads are split by the given column's range; Spark pushes filters, columns and top-k down."""
+    """A database by JDBC; its driver must be on Spark's class path. Reads are split by the given column's range; Spark pushes filters, columns and top-k down."""
 
     def __init__(self, spark: SparkSession, url: str, dialect: str, options: dict[str, str] | None = None, partitions: int = 8):
         self.spark, self.url, self.dialect, self.options, self.partitions = spark, url, dialect, options or {}, partitions
@@ -154,6 +154,8 @@ class JdbcStore(Store):
         return self._load(dbtable=quote(name, self.dialect), partitionColumn=by, lowerBound=str(low), upperBound=str(high), numPartitions=str(self.partitions))
 
     def describe(self, name: str) -> Table | None:
+        if self.dialect in jdbc_catalog.COLUMNS:
+            return jdbc_catalog.describe(lambda sql: [r.asDict() for r in self._load(query=sql).collect()], name, self.dialect)
         if name not in self.tables():
             return None
         fields = self._load(dbtable=quote(name, self.dialect)).schema.fields
