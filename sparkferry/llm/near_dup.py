@@ -9,8 +9,8 @@ Texts with the same shingle set are one class. Classes that agree in all registe
 candidates are verified by their exact similarity, in three turns, so that a bucket's pairs are never all listed:
 1. each class with one pivot (a bucket's first class): enough to gather most groups;
 2. in small buckets all pairs, in large ones each class with two pivots, unless already gathered;
-3. in large buckets that still hold several groups, all pairs across groups that the distances to the pivots leave open
-   (1 - similarity is a metric for weights of 1), in blocks of bounded size.
+3. in large buckets that still hold several groups, block by block of bounded size, by products of the blocks' shingle
+   matrices; only links that join groups leave the task.
 Only links within a group already gathered are left out; groups are the same as by verifying every candidate pair.
 """
 
@@ -33,7 +33,7 @@ WORDS, SIMILAR = 5, 0.8
 BAND, BANDS = 5, 25
 REGISTERS = BAND * BANDS
 #: Buckets up to this size list all their pairs, which is linear in the table; blocks of larger ones have about so many classes.
-SMALL, BLOCK = 16, 128
+SMALL, BLOCK = 16, 512
 #: Candidate sets are found by broadcasting row ids up to so many, else by a shuffled join.
 BROADCAST_ROWS = 2_000_000
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -201,22 +201,37 @@ def _set(rows: dict, side: str, i: int, counted: bool) -> tuple[np.ndarray, np.n
     return np.frombuffer(rows[f"{side}h"][i], np.uint64), np.frombuffer(rows[f"{side}w"][i], "<i4") if counted else np.zeros(0)
 
 
-def _cross_pairs(rows: DataFrame, similar: float, metric: bool) -> DataFrame:
-    """Pairs of different roots within (band, i, j), a pair of blocks, that sizes and distances to the pivots leave open."""
+def _similar_rows(sets: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray, similar: float, counted: bool) -> np.ndarray:
+    """Index pairs (i < j) of sets of different roots that are similar enough, by a product of 0/1 matrices over the shingles that several sets share."""
+    n, sizes = len(sets), np.array([len(h) for h, _ in sets])
+    _, where, times = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(n), sizes), times[where] > 1
+    place = np.cumsum(times > 1)[where[shared]] - 1
+    common = np.zeros((n, n), np.float32)
+    order = np.argsort(place, kind="stable")
+    row, place = row[shared][order], place[order]
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):  # so many shingles at a time
+        low, high = np.searchsorted(place, (at, at + 4096))
+        part = np.zeros((n, 4096), np.float32)
+        part[row[low:high], place[low:high] - at] = 1
+        common += part @ part.T
+    near = common > 0 if counted else common >= similar * (sizes[:, None] + sizes - common) - 1e-3
+    found = np.argwhere(np.triu(near & (root[:, None] != root), 1))
+    return np.array([(i, j) for i, j in found if similarity(sets[i], sets[j], counted) >= similar], np.int64).reshape(-1, 2)
+
+
+def _cross_links(rows: DataFrame, similar: float, counted: bool) -> DataFrame:
+    """Links (a, b) enough to join all groups that are similar across or within (band, i, j), a pair of blocks."""
 
     def run(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        block, node, root, n = (t.column(c).to_numpy() for c in ("block", "node", "root", "n"))
-        near = np.column_stack([t.column("s1").to_numpy(), t.column("s2").to_numpy()])
-        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        ok = (root[x][:, None] != root[y]) & (np.minimum(n[x][:, None], n[y]) >= similar * np.maximum(n[x][:, None], n[y]))
-        for k in range(2 if metric else 0):
-            ok &= ~(np.abs(near[x, k][:, None] - near[y, k]) > 1 - similar + 1e-9)
-        p, q = np.nonzero(ok)
-        a, b = node[x][p], node[y][q]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).cast(pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
+        w = t.column("w").to_pylist() if counted else [b""] * len(node)
+        sets = [(np.frombuffer(h, np.uint64), np.frombuffer(x, "<i4")) for h, x in zip(t.column("h").to_pylist(), w, strict=True)]
+        pairs = _similar_rows(sets, root, similar, counted)
+        links = np.unique(np.sort(root[pairs], axis=1), axis=0) if len(pairs) else np.zeros((0, 2), np.int64)
+        return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
-    return rows.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").where("a < b").distinct()
+    return rows.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def _groups(h: DataFrame, similar: float, counted: bool) -> DataFrame:
@@ -254,8 +269,7 @@ def _groups(h: DataFrame, similar: float, counted: bool) -> DataFrame:
     stars = high.select(F.col("p1.node").alias("a"), F.col("node").alias("b")).unionByName(high.select(F.col("node").alias("a"), F.col("p2.node").alias("b"))).where("a < b").distinct()
     open_ = rooted(rooted(small, "a", "ra"), "b", "rb").where("ra != rb").select("a", "b").unionByName(stars).distinct().join(done.df.select("a", "b"), ["a", "b"], "left_anti")
     more = Held(_verified(open_, sets.df, counted))
-    known = done.df.unionByName(more.df)
-    links = known.where(F.col("s") >= similar).select("a", "b")
+    links = done.df.unionByName(more.df).where(F.col("s") >= similar).select("a", "b")
     roots = components(links)
 
     # Large buckets that hold several groups.
@@ -263,15 +277,11 @@ def _groups(h: DataFrame, similar: float, counted: bool) -> DataFrame:
     split = big.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
     held_split = Held(split)
     if not held_split.df.isEmpty():
-        s1 = known.select(F.col("a").alias("p"), F.col("b").alias("node"), F.col("s").alias("s1")).unionByName(known.select(F.col("b").alias("p"), F.col("a").alias("node"), F.col("s").alias("s1"))).distinct()
-        rest = big.join(held_split.df, "band", "left_semi").withColumn("p", F.col("p1.node")).join(s1, ["p", "node"], "left").drop("p")
-        rest = rest.withColumn("p", F.col("p2.node")).join(s1.withColumnRenamed("s1", "s2"), ["p", "node"], "left").drop("p")
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        rest = rest.select("band", "node", "root", F.col("size").alias("n"), F.coalesce("s1", F.lit(float("nan"))).alias("s1"), F.coalesce("s2", F.lit(float("nan"))).alias("s2"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        rest = rest.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-        cross = _cross_pairs(rest, similar, not counted).join(known.select("a", "b"), ["a", "b"], "left_anti")
-        last = Held(_verified(cross, sets.df, counted))
-        roots = components(links.unionByName(last.df.where(F.col("s") >= similar).select("a", "b")))
+        rest = big.join(held_split.df, "band", "left_semi").select("band", "node", "root", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        rest = rest.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other").join(sets.df, "node")
+        last = Held(_cross_links(rest, similar, counted))
+        roots = components(links.unionByName(last.df))
         last.drop()
     for used in (shared, sets, done, more, held_split):
         used.drop()
