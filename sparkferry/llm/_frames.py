@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text is worked on in slices of about so many bytes; one longer text makes a slice alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch where the session has Spark's default: rows are whole texts, and several batches are held at once.
+BATCH_ROWS, DEFAULT_BATCH_ROWS = 1000, "10000"
 
 
 def pick(df: DataFrame, **names: str) -> DataFrame:
@@ -30,7 +32,10 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each Spark context, so that they need no shared folder or installation."""
+    """Gives the executors this package, once for each Spark context, so that they need no shared folder or installation.
+    Also lowers the session's Arrow batches to BATCH_ROWS, unless the session has a number of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_sparkferry_shipped", False):
         return

@@ -27,7 +27,7 @@ SEQUENCE = 1024
 #: A sequence id holds, from the top: the length's power, the partition, the count in the partition.
 POWER_SHIFT, PARTITION_SHIFT = 58, 36
 #: Distinct words whose ids a worker remembers; beyond that it forgets them all.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others 256 and up in order.
 BYTE_CHARACTERS = {b: chr(b if b in _SHOWN else 256 + b - sum(s < b for s in _SHOWN)) for b in range(256)}
