@@ -35,7 +35,7 @@ REGISTERS = BAND * BANDS
 #: Buckets up to this size list all their pairs, which is linear in the table; blocks of larger ones have about so many classes.
 SMALL, BLOCK = 16, 512
 #: Candidate sets are found by broadcasting row ids up to so many, else by a shuffled join.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: What the words of a shingle are multiplied by.
 _PLACES = np.arange(1, 2 * WORDS, 2, dtype=np.uint64) * _ODD

@@ -106,6 +106,12 @@ def test_groups_of_documents(spark):
     assert got == {ids[i]: ids[w] for i, w in enumerate(want)}
 
 
+def test_groups_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BROADCAST_ROWS", -1)
+    r = random.Random(9)
+    check(spark, [varied(r, [f"g{g}x{i}" for i in range(100)], r.randrange(3)) for g in range(5) for _ in range(4)] + ["", None, "%"])
+
+
 def test_similarity_of_counts():
     r = np.random.default_rng(3)
     for _ in range(30):
