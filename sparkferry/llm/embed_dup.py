@@ -173,13 +173,14 @@ def _units(df: DataFrame) -> DataFrame:
 
 
 def _pivots(nodes: DataFrame, total: int) -> dict[int, np.ndarray]:
-    """Pivots by dimension, farthest first, from a sample that SAMPLE bounds."""
+    """Pivots by dimension, farthest first, from a sample that SAMPLE bounds: as many as make the largest label's cells about blocks."""
+    largest = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     place = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = sorted((r.dim, bytes(r.unit)) for r in nodes.where(place < SAMPLE / max(1, total)).select("dim", "unit").collect())
     out = {}
     for dim in sorted({d for d, _ in sample}):
         x = np.stack([np.frombuffer(u) for d, u in sample if d == dim])
-        most = int(min(PIVOTS, max(1, total // (BLOCK // 2)), len(x)))
+        most = int(min(PIVOTS, max(1, largest // BLOCK), len(x)))
         out[dim] = x[CoverTree(x, np.ones(len(x)), 0.0).order[:most]]
     return out
 
