@@ -232,23 +232,35 @@ def compile_dfa(trees: list, search: bool) -> DFA:
         mark = np.isin(np.arange(256), list(sets))
         groups = np.unique(groups * 2 + mark, return_inverse=True)[1]
     letters = [int(np.flatnonzero(groups == g)[0]) for g in range(int(groups.max()) + 1)]
-    begin = nfa.closure({first})
+    # Sets of states are integers' bits; only states that move or end a rule tell sets apart.
+    counts = [s for s in range(len(nfa.moves)) if nfa.moves[s] or s in ends]
+    bit = {s: 1 << k for k, s in enumerate(counts)}
+    reach = functools.cache(lambda s: sum(bit[t] for t in nfa.closure({s}) if t in bit))
+    steps = []
+    for s in counts:
+        to = [0] * len(letters)
+        for x, t in nfa.moves[s]:
+            for k, b in enumerate(letters):
+                if b in x:
+                    to[k] |= reach(t)
+        steps.append([(k, m) for k, m in enumerate(to) if m])
+    begin = reach(first)
     found, rows, todo = {begin: 0}, [], [begin]
     for now in todo:
-        row = []
-        live = [m for s in now for m in nfa.moves[s]]
-        for b in letters:
-            to = {t for x, t in live if b in x}
-            if search:
-                to.add(first)
-            to = nfa.closure(to)
+        row = [begin if search else 0] * len(letters)
+        left = now
+        while left:
+            low = left & -left
+            for k, m in steps[low.bit_length() - 1]:
+                row[k] |= m
+            left ^= low
+        for to in row:
             if to not in found:
                 found[to] = len(todo)
                 todo.append(to)
-            row.append(found[to])
-        rows.append(row)
+        rows.append([found[to] for to in row])
     moves = np.array(rows, np.int64)
-    mask = np.array([sum({ends[s] for s in state if s in ends}) for state in todo], np.int64)
+    mask = np.array([sum({e for s, e in ends.items() if state & bit[s]}) for state in todo], np.int64)
     # Refinement until no letter tells two states of a class apart.
     part = np.unique(mask, return_inverse=True)[1]
     while True:
