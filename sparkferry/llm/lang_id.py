@@ -154,8 +154,8 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """
     ship(df.sparkSession)
     rows = pick(df, key=key, lang=lang, text=text)
-    fit_for = rows.where(F.col("key").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("key")))
-    counts = {r.lang: r.n for r in fit_for.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    fit_for = rows.where(F.col("key").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("key")))
+    counts = {r.lang: r.n for r in fit_for.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # this scan leaves the texts alone
     if not counts:
         return None
     share = max(1, max_rows // len(counts))
@@ -163,7 +163,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     wanted = F.lit(False)
     for k, n in counts.items():
         wanted = wanted | ((F.col("lang") == k) & (place < share / n))
-    sample = fit_for.where(wanted).select("key", "lang", "text")
+    sample = fit_for.where(wanted & F.col("text").isNotNull()).select("key", "lang", "text")
     schema = "key string, lang string, grams binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
