@@ -62,16 +62,42 @@ def pages(df: DataFrame, key: list[str], size: int) -> Iterator[DataFrame]:
         last = list(tail)
 
 
-def numbered(df: DataFrame, key: list[str], size: int, parts: int = 200) -> DataFrame:
+def _bounds(df: DataFrame, key: list[str], parts: int) -> list:
+    """Up to parts - 1 keys that cut the table into about equal ranges, from a sample of about 100 keys for each part, by hash."""
+    keys = df.select(*[F.col(f"`{k}`") for k in page_order(key)])
+    share = min(1.0, 100 * parts / max(1, keys.count()))
+    place = F.pmod(F.xxhash64(*keys.columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = keys.where(place < share).orderBy(*keys.columns).collect()
+    step = max(1, len(sample) // parts)
+    return sorted_unique(sample[step::step])
+
+
+def sorted_unique(rows: list) -> list:
+    return [r for i, r in enumerate(rows) if i == 0 or r != rows[i - 1]]
+
+
+def _range_of(row: Column, bounds: list[Column], low: int = 0, high: int | None = None) -> Column:
+    """How many of the rising bounds are not above a row: a search by halves, as nested conditions."""
+    high = len(bounds) if high is None else high
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(row < bounds[mid], _range_of(row, bounds, low, mid)).otherwise(_range_of(row, bounds, mid + 1, high))
+
+
+def numbered(df: DataFrame, key: list[str], size: int, parts: int = 64) -> DataFrame:
     """df with page_id (0 and up), for all pages at once, without a single-task sort.
 
-    Rows are range-partitioned by the key; a running total of the partitions' counts, of which there are few, gives
-    each partition its first number, and rows are numbered within partitions only.
+    Rows fall into key ranges between fixed bounds, so that each evaluation of the plan cuts alike; a running total of
+    the ranges' counts, of which there are `parts` at most, gives each range its first number, and rows are numbered within ranges.
     """
+    types = dict(df.dtypes)
     order = [F.col(f"`{k}`").asc() for k in page_order(key)]
-    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    row = F.struct(*[F.col(f"`{k}`").alias(k) for k in page_order(key)])
+    bounds = [F.struct(*[F.lit(b[k]).cast(types[k]).alias(k) for k in page_order(key)]) for b in _bounds(df, key, parts)]
+    ranged = df.withColumn("__part", _range_of(row, bounds))
     counts = ranged.groupBy("__part").agg(F.count("*").cast("long").alias("__n"))
-    ahead = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each partition
+    ahead = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each range
     starts = counts.select("__part", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
     out = ranged.withColumn("__at", place).join(F.broadcast(starts), "__part")

@@ -92,7 +92,7 @@ def page_manifest(spark, sf_dir):
 @register("page_concat_equals_scan", "select * from conversations")
 def page_concat_equals_scan(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    return paging.numbered(rows, ["conv_id", "turn"], 100, 16).drop("page_id")
+    return paging.numbered(rows, ["conv_id", "turn"], 100).drop("page_id")
 
 
 @register("scan_no_pk", "select * from lineitem")
