@@ -243,7 +243,8 @@ def _groups(h: DataFrame, similar: float, counted: bool) -> DataFrame:
     )
     entries = classes.df.select(F.explode("bands").alias("band"), "node", "size")
     buckets = entries.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("p1"), F.max(F.struct("node", "size")).alias("p2")).where("n > 1")
-    shared = Held(join_hubs(entries, buckets, "band", classes.df.count() * BANDS))
+    total = classes.df.count()
+    shared = Held(join_hubs(entries, buckets, "band", total * BANDS))
     m = shared.df
     alike = lambda x, y: F.least(x, y) >= similar * F.greatest(x, y)
 
@@ -286,9 +287,9 @@ def _groups(h: DataFrame, similar: float, counted: bool) -> DataFrame:
     for used in (shared, sets, done, more, held_split):
         used.drop()
 
-    of_class = rooted(classes.df.select("node", "none", "id", "n", "key"), "node", "root")
-    best = of_class.groupBy("root").agg(F.min(F.struct("none", "id", "node")).alias("best"))
-    return of_class.join(best, "root").select("key", "n", F.col("id").alias("class_id"), F.col("best.id").alias("component_id"), F.col("best.node").alias("keeper"))
+    of_class = rooted(classes.df.select("node", "none", "id", F.col("n").alias("copies"), "key"), "node", "root")
+    best = of_class.groupBy("root").agg(F.min(F.struct("none", "id", "node")).alias("best"), F.count("*").alias("n"))
+    return join_hubs(of_class, best, "root", total).select("key", F.col("copies").alias("n"), F.col("id").alias("class_id"), F.col("best.id").alias("component_id"), F.col("best.node").alias("keeper"))
 
 
 def grouped(df: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR, counted: bool = False) -> DataFrame:
