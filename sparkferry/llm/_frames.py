@@ -11,7 +11,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text is worked on in slices of about so many bytes; one longer text makes a slice alone.
 SLICE_BYTES = 1 << 20
@@ -31,6 +33,14 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return plain.select(*[plain[f"c{have.index(v)}"].alias(k) for k, v in names.items()])
 
 
+def carried(df: DataFrame, column: str, keep: tuple[str, ...]) -> tuple[DataFrame, list[T.StructField], list[Column]]:
+    """What an operator on one column maps over: rows with that column as `in__` and the kept ones, the fields that its results
+    begin with, and columns that give the kept ones their names back. A kept column that is the operator's own goes once."""
+    names = {k: "in__" if k == column else f"k{i}" for i, k in enumerate(keep)}
+    rows = pick(df, in__=column, **{v: k for k, v in names.items() if v != "in__"})
+    return rows, [rows.schema[v] for v in names.values()], [F.col(v).alias(k) for k, v in names.items()]
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package, once for each Spark context, so that they need no shared folder or installation.
     Also lowers the session's Arrow batches to BATCH_ROWS, unless the session has a number of its own."""

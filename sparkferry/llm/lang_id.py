@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkferry.llm._frames import pick, ship, slices
+from sparkferry.llm._frames import carried, pick, ship, slices
 
 BITS, LENGTHS = 18, 3
 UNKNOWN = "und"
@@ -189,16 +189,15 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple
     language by name; repeated rows stay; an empty table gives an empty one; other columns may have any name.
     """
     ship(df.sparkSession)
-    rows = pick(df, text__=text, **{f"k{i}": k for i, k in enumerate(keep)})
-    kept = [f for f in rows.schema.fields if f.name != "text__"]
+    rows, kept, back = carried(df, text, keep)
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch = np.zeros(1 << BITS, bool)
         for whole in batches:
-            for b in slices(whole, "text__"):
-                lang, score = predict(model, b.column("text__").to_pylist(), scratch)
+            for b in slices(whole, "in__"):
+                lang, score = predict(model, b.column("in__").to_pylist(), scratch)
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(f.name)) for f in kept] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema.names)
 
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], F.col("lang_pred").alias(f"{prefix}lang_pred"), F.col("score").alias(f"{prefix}score"))
+    return out.select(*back, F.col("lang_pred").alias(f"{prefix}lang_pred"), F.col("score").alias(f"{prefix}score"))

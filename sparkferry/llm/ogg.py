@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkferry.llm._frames import pick, ship, slices
+from sparkferry.llm._frames import carried, ship, slices
 
 BLOCK, RATE, PACKET = 192, 8000, 1920
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -173,17 +173,16 @@ def to_media(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     """Each row's kept columns with media, its text's container. A null text is empty (192 spaces); repeated rows stay; an
     empty table gives an empty one; other columns may have any name."""
     ship(df.sparkSession)
-    rows = pick(df, text__=text, **{f"k{i}": k for i, k in enumerate(keep)})
-    kept = [f for f in rows.schema.fields if f.name != "text__"]
+    rows, kept, back = carried(df, text, keep)
     schema = T.StructType([*kept, T.StructField("media", T.BinaryType())])
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text__"):
-                made = pa.array([write_ogg((s or "").encode()) for s in batch.column("text__").to_pylist()], pa.binary())
+            for batch in slices(whole, "in__"):
+                made = pa.array([write_ogg((s or "").encode()) for s in batch.column("in__").to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)) for f in kept] + [made], schema.names)
 
-    return rows.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], "media")
+    return rows.mapInArrow(run, schema).select(*back, "media")
 
 
 FIELDS = "payload binary, n_bytes long, pages int, packets int, end_us long, feature string, error string"
@@ -193,8 +192,7 @@ def read_media(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("do
     """Each row's kept columns with payload (padded samples), n_bytes (unpadded), pages, packets, end_us (the last sample's
     end), feature and error. A null or damaged container has an error and nulls elsewhere."""
     ship(df.sparkSession)
-    rows = pick(df, media__=media, **{f"k{i}": k for i, k in enumerate(keep)})
-    kept = [f for f in rows.schema.fields if f.name != "media__"]
+    rows, kept, back = carried(df, media, keep)
     made = T._parse_datatype_string(FIELDS)
     schema = T.StructType(kept + made.fields)
 
@@ -203,7 +201,7 @@ def read_media(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("do
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 got = []
-                for x in batch.column("media__").to_pylist():
+                for x in batch.column("in__").to_pylist():
                     try:
                         got.append(read_ogg(x) | {"error": None} if x is not None else {"error": "no media"})
                     except Damaged as e:
@@ -212,4 +210,4 @@ def read_media(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("do
                 new = [pa.array([g.get(f.name) for g in got], k) for f, k in zip(made.fields, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)) for f in kept] + new, schema.names)
 
-    return rows.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *made.names)
+    return rows.mapInArrow(run, schema).select(*back, *made.names)

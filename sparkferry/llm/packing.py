@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkferry.llm._frames import pick, ship, slices
+from sparkferry.llm._frames import carried, ship, slices
 from sparkferry.llm._split import Known, splitter
 
 SEQUENCE = 1024
@@ -95,8 +95,7 @@ def pack(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
         raise ValueError("the longest sequence must be a power of two")
     ship(df.sparkSession)
     path = tokenizer or default_tokenizer()
-    rows = pick(df, text__=text, **{f"k{i}": k for i, k in enumerate(keep)})
-    kept = [f for f in rows.schema.fields if f.name != "text__"]
+    rows, kept, back = carried(df, text, keep)
     schema = T.StructType(kept + T._parse_datatype_string(PIECES).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +104,9 @@ def pack(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
         end = struct.pack("<I", end_id)
         encode, part, count = encoder(path), TaskContext.get().partitionId() if TaskContext.get() else 0, 0
         for whole in batches:
-            for batch in slices(whole, "text__"):
+            for batch in slices(whole, "in__"):
                 row, start, length, ids, total, sequence = [], [], [], [], [], []
-                for i, s in enumerate(batch.column("text__").to_pylist()):
+                for i, s in enumerate(batch.column("in__").to_pylist()):
                     got = encode(s or "") + end
                     at, size = 0, len(got) // 4
                     for n in piece_lengths(size, most):
@@ -120,4 +119,4 @@ def pack(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
                 yield pa.RecordBatch.from_arrays(carried + made, schema.names)
 
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *schema.names[len(kept) :])
+    return out.select(*back, *schema.names[len(kept) :])

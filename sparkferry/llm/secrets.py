@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkferry.llm._frames import pick, ship, slices
+from sparkferry.llm._frames import carried, ship, slices
 
 
 @dataclass(frozen=True)
@@ -392,8 +392,7 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     one; other columns may have any name. prefix: goes before the results' names.
     """
     ship(df.sparkSession)
-    rows = pick(df, text__=text, **{f"k{i}": k for i, k in enumerate(keep)})
-    kept = [f for f in rows.schema.fields if f.name != "text__"]
+    rows, kept, back = carried(df, text, keep)
     made = T._parse_datatype_string(f"spans {SPANS}" + ", redacted string" * redacted)
     schema = T.StructType(kept + made.fields)
     found = scanner(rules)
@@ -401,8 +400,8 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text__"):
-                texts = batch.column("text__").to_pylist()
+            for batch in slices(whole, "in__"):
+                texts = batch.column("in__").to_pylist()
                 spans = [spans_of(found, s) if s else [] for s in texts]
                 new = [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in spans], kind)]
                 if redacted:
@@ -410,4 +409,4 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)) for f in kept] + new, schema.names)
 
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *[F.col(c).alias(prefix + c) for c in made.names])
+    return out.select(*back, *[F.col(c).alias(prefix + c) for c in made.names])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkferry.llm._frames import Held, pick, ship, slices, text_offsets
+from sparkferry.llm._frames import Held, carried, pick, ship, slices, text_offsets
 from sparkferry.llm._words import LETTERS, among, hash_words, letter_table, mix, words
 from sparkferry.llm.lang_id import held_out
 
@@ -257,15 +257,14 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
     any name. Only the text is looked at.
     """
     ship(df.sparkSession)
-    rows = pick(df, text__=text, **{f"k{i}": k for i, k in enumerate(keep)})
-    kept = [f for f in rows.schema.fields if f.name != "text__"]
+    rows, kept, back = carried(df, text, keep)
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text__"):
-                s = model.scores(features(*text_offsets(b.column("text__")), model.learned))
+            for b in slices(whole, "in__"):
+                s = model.scores(features(*text_offsets(b.column("in__")), model.learned))
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(f.name)) for f in kept] + [pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], schema.names)
 
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], F.col("score").alias(f"{prefix}score"), F.col("predicted").alias(f"{prefix}predicted"))
+    return out.select(*back, F.col("score").alias(f"{prefix}score"), F.col("predicted").alias(f"{prefix}predicted"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkferry.llm._frames import pick, ship, slices
+from sparkferry.llm._frames import carried, ship, slices
 from sparkferry.llm._split import Known, splitter
 
 #: Remembered results in a worker, of halves and windows, and of words; beyond that it forgets them all.
@@ -159,8 +159,7 @@ def coder(path: str, pattern: str) -> TreeBPE:
 
 def _mapped(df: DataFrame, column: str, keep: tuple[str, ...], fields: str, work, path: str, pattern: str) -> DataFrame:
     ship(df.sparkSession)
-    rows = pick(df, in__=column, **{f"k{i}": k for i, k in enumerate(keep)})
-    kept = [f for f in rows.schema.fields if f.name != "in__"]
+    rows, kept, back = carried(df, column, keep)
     schema = T.StructType(kept + T._parse_datatype_string(fields).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +170,7 @@ def _mapped(df: DataFrame, column: str, keep: tuple[str, ...], fields: str, work
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)) for f in kept] + made, schema.names)
 
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *schema.names[len(kept) :])
+    return out.select(*back, *schema.names[len(kept) :])
 
 
 def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ranks: str | None = None, pattern: str | None = None) -> DataFrame:
