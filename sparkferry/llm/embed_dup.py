@@ -268,9 +268,9 @@ def grouped(df: DataFrame, vector: str = "embedding", label: str = "label", key:
     found = Held(left.select("blocka", "blockb", "side", "node", "w", "unit").unionByName(right.select("blocka", "blockb", "side", "node", "w", "unit")).groupBy("blocka", "blockb").applyInArrow(compare, "node long, links long, root long"))
     roots = components(found.df.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.df.groupBy("node").agg(F.sum("links").alias("links"))
-    of = nodes.df.select("key", "node", "none", "id", "n").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = of.groupBy("root").agg(F.min(F.struct("none", "id")).alias("best"))
-    of = of.join(best, "root").select("key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("best.id").alias("component_id"))
+    of = nodes.df.select("key", "node", "none", "id", F.col("n").alias("copies")).join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = of.groupBy("root").agg(F.min(F.struct("none", "id")).alias("best"), F.count("*").alias("n"))
+    of = join_hubs(of, best, "root", total).select("key", F.col("copies").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("best.id").alias("component_id"))
     linked = join_hubs(h.where(F.col("key").isNotNull()).select("id", "key"), of, "key", h.count())
     linked = linked.select("id", "n_links", "component_id")
     out = linked.unionByName(h.where(F.col("key").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
