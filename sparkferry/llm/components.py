@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from sparkferry.llm._frames import Held
 
-#: A key is a hub from this share of the rows on: there can be at most its inverse of them.
-HUB = 1 / 1000
+#: A key is a hub beyond this share of the rows and this many: so there are at most 1000 hubs of any table.
+HUB, LEAST_HUB = 1 / 1000, 100
 
 
 def join_hubs(rows: DataFrame, about: DataFrame, key: str, total: int) -> DataFrame:
     """rows joined with `about`, which has one row for each key and in column n the number of its rows."""
-    most = max(1000, int(total * HUB))
+    most = max(LEAST_HUB, int(total * HUB))
     hubs, others = about.where(F.col("n") > most), about.where(F.col("n") <= most)
     by_hub = rows.join(F.broadcast(hubs), key)
     return by_hub.unionByName(rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(others, key))
