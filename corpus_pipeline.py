@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages, each on all that its predecessor kept.
 
 1. toxicity: documents that the boosted trees score at 0.5 or more go;
-2. language: documents whose language can't be told (no letter, or no language's regression comes near) go;
+2. language: documents whose language can't be told (no letter, or n-grams of none of the learned languages) go;
 3. near_dup: one document of each group of near-duplicates stays;
 4. secrets: secrets are replaced by their kind in brackets, and n_chars is counted again; no document goes;
 5. packing: the documents' token ids, cut into sequences of power-of-two lengths.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkferry.llm._frames import Held
 
-#: A language's regression scores an example that it learned at about 1 and one of another language at 0; below this no language is near.
+#: A text in none of the learned languages scores 0; the best of K languages' regressions scores others at 1 / K or more.
 LEAST_LANGUAGE = 0.25
 
 

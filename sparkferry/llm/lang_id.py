@@ -24,6 +24,8 @@ from sparkferry.llm._frames import carried, pick, ship, slices
 
 BITS, LENGTHS = 18, 3
 UNKNOWN = "und"
+#: A text is in a learned language if landmarks have this part of the share of its n-grams that they have of the median learned text's.
+NEAR = 0.7
 _letters: np.ndarray | None = None
 
 
@@ -59,7 +61,8 @@ def gram_set(text: str | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """places: the n-gram numbers that landmarks have; marks: places x landmarks; weights: landmarks x languages."""
+    """places: the n-gram numbers that landmarks have; marks: places x landmarks; weights: landmarks x languages;
+    least: the share of a text's n-grams among places from which on it is in one of the languages."""
 
     languages: tuple[str, ...]
     places: np.ndarray
@@ -67,6 +70,7 @@ class Model:
     roots: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    least: float = 0.0
 
     def kernels(self, seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Kernels of texts with the landmarks. seen: texts x places; counts: the texts' distinct n-grams."""
@@ -75,6 +79,10 @@ class Model:
     def margins(self, seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return self.kernels(seen, counts) @ self.weights + self.bias
 
+    def strange(self, seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Which texts are in none of the languages. Margins can't tell: a text's add up to 2 - K, so the best of K is never below 2 / K - 1."""
+        return seen.sum(axis=1) < self.least * counts
+
 
 def fit(sets: list[np.ndarray], langs: list[str], landmarks: int = 120, ridge: float = 1e-2) -> Model | None:
     """A model of labelled n-gram sets; None without any. With one language it always says that one."""
@@ -90,9 +98,10 @@ def fit(sets: list[np.ndarray], langs: list[str], landmarks: int = 120, ridge: f
         marks[np.searchsorted(places, sets[i]), j] = 1
     roots = np.sqrt(np.array([len(sets[i]) for i in chosen], np.float64))
     plain = Model(names, places, marks, roots, np.zeros(0), np.zeros(0))
+    owners, marked = marks.sum(axis=1), set(chosen)
 
     def kernels(rows):
-        out = []
+        out, shares = [], []
         for at in range(0, len(rows), 256):
             part = rows[at : at + 256]
             seen = np.zeros((len(part), len(places)), np.float32)
@@ -100,20 +109,24 @@ def fit(sets: list[np.ndarray], langs: list[str], landmarks: int = 120, ridge: f
                 where = np.searchsorted(places, sets[i])
                 where[where == len(places)] = 0
                 seen[r, where[places[where] == sets[i]]] = 1
-            out.append(plain.kernels(seen, np.array([len(sets[i]) for i in part], np.float64)))
-        return np.vstack(out)
+            counts = np.array([len(sets[i]) for i in part], np.float64)
+            out.append(plain.kernels(seen, counts))
+            own = np.array([i in marked for i in part])[:, None]  # a landmark's n-grams count where another landmark has them
+            shares.append((seen * (owners >= 1 + own)).sum(axis=1) / counts)
+        return np.vstack(out), np.concatenate(shares)
 
     # Nyström: the inverse root of the landmarks' kernel matrix, without its near-empty directions.
-    value, vector = np.linalg.eigh(kernels(chosen))
+    value, vector = np.linalg.eigh(kernels(chosen)[0])
     use = value > 1e-6 * value.max()
     root = vector[:, use] / np.sqrt(value[use])
-    phi = kernels(have) @ root
+    kernel, shares = kernels(have)
+    phi = kernel @ root
     y = np.where(np.array([langs[i] for i in have])[:, None] == np.array(names)[None], 1.0, -1.0)
     weight = 1 / np.sqrt(np.array([len(by[names.index(langs[i])]) for i in have], np.float64))  # languages count alike
     mean, ymean = np.average(phi, axis=0, weights=weight), np.average(y, axis=0, weights=weight)
     x = phi - mean
     solved = np.linalg.solve((x * weight[:, None]).T @ x + ridge * weight.sum() / len(x) * np.eye(x.shape[1]), (x * weight[:, None]).T @ (y - ymean))
-    return Model(names, places.astype(np.int64), marks, roots, root @ solved, ymean - mean @ solved)
+    return Model(names, places.astype(np.int64), marks, roots, root @ solved, ymean - mean @ solved, NEAR * float(np.median(shares)))
 
 
 def predict(model: Model | None, texts: list[str | None], scratch: np.ndarray) -> tuple[list[str], list[float]]:
@@ -135,9 +148,9 @@ def predict(model: Model | None, texts: list[str | None], scratch: np.ndarray) -
                 has.append(r)
         if has:
             got = model.margins(seen[has], counts[has])
-            best = got.argmax(axis=1)
-            for r, b, m in zip(has, best, got[np.arange(len(has)), best], strict=True):
-                lang[at + r], score[at + r] = model.languages[b], float(min(1.0, max(0.0, (1 + m) / 2)))
+            best, strange = got.argmax(axis=1), model.strange(seen[has], counts[has])
+            for r, b, m, none in zip(has, best, got[np.arange(len(has)), best], strange, strict=True):
+                lang[at + r], score[at + r] = model.languages[b], 0.0 if none else float(min(1.0, max(0.0, (1 + m) / 2)))
     return lang, score
 
 
@@ -185,7 +198,8 @@ def _order(s: str) -> int:
 def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """Each row's kept columns with lang_pred and score (0 to 1; 1 is the margin of a learned example).
 
-    A null text, or one without a letter, is `und` with score 0, and so is every text without a model. Ties go to the first
+    A null text, or one without a letter, is `und` with score 0, and so is every text without a model. A text whose n-grams
+    aren't those of learned texts (Model.strange) has score 0 beside the language that is least far. Ties go to the first
     language by name; repeated rows stay; an empty table gives an empty one; other columns may have any name.
     """
     ship(df.sparkSession)

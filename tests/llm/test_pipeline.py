@@ -58,3 +58,15 @@ def test_clean_documents_stay(spark):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet").where("toxic = 0")
     clean = corpus_pipeline.toxicity(spark, docs, FOLDER).join(labels, "doc_id", "left_semi").count()
     assert clean >= 0.95 * labels.count()
+
+
+def test_texts_in_no_learned_language_go(spark):
+    r = np.random.default_rng(3)
+    junk = lambda n: " ".join("".join(map(chr, r.integers(97, 123, r.integers(2, 10)))) for _ in range(n))
+    strange = ["Η γρήγορη καφέ αλεπού πηδάει πάνω από το σκυλί", "敏捷的棕色狐狸跳过懒狗", "Съешь ещё этих мягких французских булок", junk(5), junk(30), junk(500), "aGVsbG8gd29ybGQgdGhpcyBpcyBhIGJhc2U2NCBzdHJpbmcgb2YgbGV0dGVycw=="]
+    clean = ["Hello world", "Yes", "Der schnelle braune Fuchs springt über den faulen Hund.", "Une femme de la ville est dans la maison", "La casa de la ciudad es de la mujer"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    new = spark.createDataFrame([(-1 - i, s, None, None, len(s)) for i, s in enumerate(strange + clean)], docs.schema)
+    left = {d.doc_id for d in corpus_pipeline.language(spark, docs.unionByName(new), FOLDER).select("doc_id").collect()}
+    assert {i for i in left if i < 0} == {-1 - i for i in range(len(strange), len(strange) + len(clean))}
+    assert len(left) - len(clean) >= 0.995 * docs.count()
