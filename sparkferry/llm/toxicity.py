@@ -123,33 +123,33 @@ class Model:
 DEPTH, ROUNDS, RATE, BINS, LEAST, PENALTY = 3, 60, 0.15, 32, 10, 1.0
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the rising step function that is nearest to y in squares, by pooling adjacent violators: each pool's mean x and y."""
-    order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []  # sum of y, count, sum of x
-    for a, b in zip(x[order], y[order], strict=True):
-        if pools and a == pools[-1][2] / pools[-1][1] and pools[-1][3] == a:
-            pools[-1][0] += b
-            pools[-1][1] += 1
-            pools[-1][2] += a
-        else:
-            pools.append([b, 1, a, a])
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the rising step function that is nearest to y in squares weighted by w, by pooling adjacent violators: each pool's mean x and y."""
+    w = np.ones(len(x)) if w is None else w
+    at, tied = np.unique(x, return_inverse=True)  # equal x are one pool from the start, so that their order doesn't matter
+    n, s = np.bincount(tied, w), np.bincount(tied, w * y)
+    pools: list[list[float]] = []  # sums of w y, w and w x
+    for pool in np.column_stack([s, n, n * at]).tolist():
+        pools.append(pool)
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            s, n, t, last = pools.pop()
-            pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2] + t, last]
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
     return np.array([p[2] / p[1] for p in pools]), np.array([p[0] / p[1] for p in pools])
 
 
-def boost(x: np.ndarray, y: np.ndarray, aside: np.ndarray, learned: np.ndarray) -> Model:
-    """Logistic boosting of trees of DEPTH on histograms of the rows not aside; the rows aside calibrate (all rows, if one class lacks there)."""
+def boost(x: np.ndarray, y: np.ndarray, aside: np.ndarray, learned: np.ndarray, weight: np.ndarray | None = None) -> Model:
+    """Logistic boosting of trees of DEPTH on histograms of the rows not aside; the rows aside calibrate (all rows, if one class lacks there).
+    weight: how many rows each one stands for."""
     fit = ~aside
+    weight = np.ones(len(y)) if weight is None else weight
+    w = weight[fit] * (fit.sum() / weight[fit].sum())  # of mean 1, as PENALTY is in rows
     edges = [np.unique(np.quantile(x[fit, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     for j in range(x.shape[1]):  # a feature that is mostly one value still needs its other side split
         other = x[fit, j][x[fit, j] > 0]
         edges[j] = np.unique(np.concatenate([edges[j], [0.0], np.quantile(other, np.linspace(0, 1, 9)[:-1]) * (1 - 1e-9) if len(other) else []]))
     binned = np.column_stack([np.searchsorted(e, x[fit, j], "left") for j, e in enumerate(edges)])
     target = y[fit].astype(float)
-    p0 = np.clip(target.mean(), 1e-3, 1 - 1e-3)
+    p0 = np.clip(np.average(target, weights=w), 1e-3, 1 - 1e-3)
     base = float(np.log(p0 / (1 - p0)))
     raw = np.full(len(target), base)
     nodes, least = 2 ** (DEPTH + 1) - 1, min(LEAST, max(2, int(target.sum()) // 5))
@@ -157,7 +157,7 @@ def boost(x: np.ndarray, y: np.ndarray, aside: np.ndarray, learned: np.ndarray)
     feature, threshold, value = np.full(shape, -1), np.zeros(shape), np.zeros(shape)
     for k in range(ROUNDS):
         p = 1 / (1 + np.exp(-raw))
-        g, h = target - p, p * (1 - p)
+        g, h = w * (target - p), w * p * (1 - p)
         at = np.zeros(len(target), np.int64)
         for node in range(nodes):
             rows = np.flatnonzero(at == node)
@@ -184,7 +184,7 @@ def boost(x: np.ndarray, y: np.ndarray, aside: np.ndarray, learned: np.ndarray)
         raw += value[k][at]
     model = Model(learned, base, feature, threshold, value, (np.zeros(1), np.zeros(1)))
     use = aside if y[aside].sum() >= 30 and (1 - y[aside]).sum() >= 30 else np.ones(len(y), bool)
-    return Model(learned, base, feature, threshold, value, isotonic(model.raw(x[use]), y[use].astype(float)))
+    return Model(learned, base, feature, threshold, value, isotonic(model.raw(x[use]), y[use].astype(float), weight[use]))
 
 
 def constant(score: float) -> Model:
@@ -193,28 +193,31 @@ def constant(score: float) -> Model:
 
 
 def _sample(df: DataFrame, labels: DataFrame, text: str, key: str, label: str, max_rows: int) -> Held:
-    """Labelled rows' key, y and text, at most about max_rows with either label, chosen by hash of the key; held once."""
+    """Labelled rows' key, y, text and weight (the rows of its label that each stands for), at most about max_rows with either
+    label, chosen by hash of the key; held once."""
     marks = pick(labels, key=key, y=label).where(F.col("key").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("key")))
     marks = marks.groupBy("key").agg(F.max("y").alias("y")).where(F.col("y").isin(0, 1))
     counts = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     place = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("toxicity")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    wanted = F.lit(False)
+    wanted, weight = F.lit(False), F.lit(1.0)
     for y, n in counts.items():
         wanted = wanted | ((F.col("y") == y) & (place < max_rows / n))
+        weight = F.when(F.col("y") == y, F.lit(max(1.0, n / max_rows))).otherwise(weight)
     # A key and a label for each of at most some 2 x max_rows rows: a parameter bounds what is broadcast.
     docs = pick(df, key=key, text=text).where(F.col("key").isNotNull() & F.col("text").isNotNull())
-    return Held(docs.join(F.broadcast(marks.where(wanted)), "key").select(F.col("key").cast("string").alias("key"), F.col("y").cast("int").alias("y"), "text"))
+    return Held(docs.join(F.broadcast(marks.where(wanted).withColumn("weight", weight)), "key").select(F.col("key").cast("string").alias("key"), F.col("y").cast("int").alias("y"), "text", "weight"))
 
 
 def learn(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_rows: int = 5000, lexicon: int = 500) -> Model:
     """A model learned from at most about `max_rows` labelled rows of either label that aren't held out.
 
+    Each row weighs as many as it stands for, so that scores are probabilities at the labels' own rates whatever `max_rows` is.
     Of repeated labels of a key the largest counts. Without labelled texts every score is 0, and with one label only it is that label.
     """
     ship(df.sparkSession)
     sample = _sample(df, labels, text, key, label, max_rows)
     hashes, place = "y int, aside boolean, h long", F.pmod(F.xxhash64("key", F.lit("aside")), F.lit(4)) == 0
-    rows = sample.df.select("y", place.alias("aside"), "text")
+    rows = sample.df.select("y", place.alias("aside"), "text", "weight")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -230,15 +233,15 @@ def learn(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     odds = F.log((F.col("a") + 0.5) / (ta + 1.0)) - F.log((F.col("b") + 0.5) / (tb + 1.0))
     best = found.where((F.col("a") >= max(4, ta // 400)) & (odds > 2.5)).orderBy(odds.desc(), "h").limit(lexicon).collect()
     learned = np.unique(np.array([r.h for r in best], np.int64).view(np.uint64)) if best else np.zeros(0, np.uint64)
-    names = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("aside", T.BooleanType()), T.StructField("x", T.BinaryType())])
+    names = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("aside", T.BooleanType()), T.StructField("x", T.BinaryType()), T.StructField("weight", T.DoubleType())])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 x = features(*text_offsets(b.column("text")), learned)
-                yield pa.RecordBatch.from_arrays([b.column("y"), b.column("aside"), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "aside", "x"])
+                yield pa.RecordBatch.from_arrays([b.column("y"), b.column("aside"), pa.array([r.tobytes() for r in x], pa.binary()), b.column("weight")], ["y", "aside", "x", "weight"])
 
-    got = sorted(((bytes(r.x), r.y, r.aside) for r in rows.mapInArrow(vectors, names).collect()), key=lambda r: r)
+    got = sorted(((bytes(r.x), r.y, r.aside, r.weight) for r in rows.mapInArrow(vectors, names).collect()), key=lambda r: r)
     sample.drop()
     if not got:
         return constant(0.0)
@@ -247,7 +250,7 @@ def learn(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return constant(float(y[0]))
     if not 0 < y[~aside].sum() < (~aside).sum():
         aside = np.zeros(len(y), bool)
-    return boost(x, y, aside, learned)
+    return boost(x, y, aside, learned, np.array([r[3] for r in got]))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:

@@ -135,3 +135,22 @@ def test_features_do_not_depend_on_the_slice(n):
     whole = toxicity.features(*encoded(texts), np.zeros(0, np.uint64))
     parts = np.vstack([toxicity.features(*encoded(texts[i : i + n]), np.zeros(0, np.uint64)) for i in range(0, 5, n)])
     assert np.allclose(whole, parts)
+
+
+def test_isotonic_weights_are_repeats():
+    r = np.random.default_rng(4)
+    x, y, w = r.integers(0, 40, 200) * 0.1, r.integers(0, 2, 200).astype(float), r.integers(1, 5, 200)
+    assert np.allclose(toxicity.isotonic(x, y, w.astype(float)), toxicity.isotonic(np.repeat(x, w), np.repeat(y, w)))
+    assert np.allclose(toxicity.isotonic(np.array([0.0, 1, 1, 1, 1]), np.array([0.0, 0, 0, 0, 1])), ([0, 1], [0, 0.25]))
+
+
+def test_toxicity_does_not_depend_on_the_sampling_rate(spark):
+    # A word that a quarter of 1200 texts with it are toxic for, one of which nine tenths are, and 4800 plain texts.
+    texts = [(i, f"stone idiot river number{i % 97}" if i < 1200 else f"stone scum river number{i % 97}" if i < 1600 else f"stone cloud river number{i % 97}") for i in range(6400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0 if i < 1200 else i % 10 > 0 if i < 1600 else 0)) for i in range(6400)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for max_rows in (10000, 600):
+        got = {r.doc_id: r for r in toxicity.score(docs, toxicity.learn(docs, labels, max_rows=max_rows)).collect()}
+        mean = lambda low, high: np.mean([got[i].score for i in range(low, high)])  # noqa: B023, E731
+        assert {i for i in got if got[i].predicted} == set(range(1200, 1600)), max_rows
+        assert abs(mean(0, 1200) - 0.25) < 0.15 and mean(1200, 1600) > 0.75 and mean(1600, 6400) < 0.02, max_rows
