@@ -246,7 +246,8 @@ def _groups(h: DataFrame, similar: float, counted: bool) -> DataFrame:
     total = classes.df.count()
     shared = Held(join_hubs(entries, buckets, "band", total * BANDS))
     m = shared.df
-    alike = lambda x, y: F.least(x, y) >= similar * F.greatest(x, y)
+    # Numbers of distinct shingles bound the similarity of sets only, not that of counts.
+    alike = lambda x, y: F.lit(True) if counted else F.least(x, y) >= similar * F.greatest(x, y)
 
     # Shingle sets of the classes that share a bucket.
     wanted = m.select(F.col("node").alias("rid")).distinct()

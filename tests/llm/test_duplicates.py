@@ -1,3 +1,4 @@
+import collections
 import random
 import re
 
@@ -242,3 +243,18 @@ def test_a_hot_key_is_joined(spark):
     assert cc.join_hubs(rows, about, "key", 9000).count() == 9000
 
 
+
+
+def test_counted_groups_of_unequal_sets(spark):
+    common = "one two three four five " * 100
+    texts = [common, common + " ".join(f"w{i}" for i in range(6)), "one two three four five " + " ".join(f"w{i}" for i in range(6))]
+    sets = [collections.Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    assert len(sets[0]) < 0.8 * len(sets[1])
+
+    def similarity(a, b):  # probability Jaccard, by its definition
+        p, q = ({g: n / max(c.values()) for g, n in c.items()} for c in (a, b))
+        return sum(1 / sum(max(p.get(h, 0) / p[g], q.get(h, 0) / q[g]) for h in p | q) for g in p.keys() & q.keys())
+
+    assert similarity(sets[0], sets[1]) > 0.9 and similarity(sets[0], sets[2]) < 0.8 and similarity(sets[1], sets[2]) < 0.8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.grouped(df, counted=True).collect()} == {0: 0, 1: 0, 2: 2}
