@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -83,15 +84,46 @@ def text_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; one of this machine's only where none is named."""
+    """The folder that driver and executors share, as the session names it. Without one, a local session gets a folder of this
+    machine, as driver and executors are one process; a cluster's session raises."""
     context = spark.sparkContext
     if (named := context._jsc.sc().getCheckpointDir()).isDefined():
         return named.get()
-    folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkferry_shared_")
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="sparkferry_shared_")
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Bits of the filter that goes before a shuffled join of whole rows with a list of ids, and of one of its rows: 8 MB in all, whatever the data.
+FILTER_BITS, FILTER_ROW = 1 << 26, 1 << 15
+
+
+def _sifted(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows with __may: false only where the key is surely not among the ids. A Bloom filter of one hash and a fixed size, so it is
+    broadcast; where the list is so long that it fills, more rows are shuffled afterwards, and results stay the same."""
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(FILTER_BITS))
+    part, bit = lambda k: (place(k) / FILTER_ROW).cast("int"), lambda k: place(k) % FILTER_ROW
+    bits = ids.groupBy(part(key).alias("__part")).agg(F.bitmap_construct_agg(bit(key)).alias("__bits"))
+    found = rows.withColumns({"__part": part(key), "__bit": bit(key)}).join(F.broadcast(bits), "__part", "left")
+    may = F.expr("shiftright(cast(conv(hex(substring(__bits, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int), cast(__bit % 8 as int)) & 1 = 1")
+    return found.withColumn("__may", F.coalesce(may, F.lit(False))).drop("__part", "__bit", "__bits")
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the ids (a table of one column, where ids may repeat)."""
+    return _sifted(rows, ids, key).where("__may").drop("__may").join(ids, key, "left_semi")
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among the ids."""
+    sifted = _sifted(rows, ids, key)
+    return sifted.where("not __may").drop("__may").unionByName(sifted.where("__may").drop("__may").join(ids, key, "left_anti"))
+
+
 class Held:
     """A table written to the shared folder and read again: it cuts lineage, and a lost executor loses nothing of it."""
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that are hashed at a time; a longer word is hashed whole.
 BLOCK = 1 << 18
@@ -25,6 +27,15 @@ def letter_table(extra: dict[str, str] | None = None) -> np.ndarray:
 
 
 LETTERS = letter_table()
+#: Blanks, punctuation and signs beyond ASCII: parts of the Unicode blocks Latin-1, general punctuation, CJK symbols and half-width forms.
+SEPARATORS = r"[\x{80}-\x{A9}\x{AB}-\x{B4}\x{B6}-\x{B9}\x{BB}-\x{BF}\x{D7}\x{F7}\x{1680}\x{2000}-\x{206F}\x{3000}-\x{303F}\x{FEFF}\x{FF01}-\x{FF0F}]"
+
+
+def folded(column: pa.Array) -> pa.Array:
+    """Texts whose words compare as they should beyond ASCII too: in lower case, and with a blank for each separator."""
+    if pc.all(pc.string_is_ascii(column)).as_py() is not False:
+        return column
+    return pc.replace_substring_regex(pc.utf8_lower(column), SEPARATORS, " ")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

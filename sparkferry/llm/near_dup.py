@@ -1,17 +1,24 @@
 """Near-duplicate documents by ProbMinHash signatures, banding, and exact verification.
 
-Shingles are five words in a row (lower case; a text of fewer words is one shingle), weighted by 1 or by their count. Each
+Shingles are five words in a row (lower case; a text of fewer words is one shingle), weighted by their count. Each
 shingle is a Poisson process whose rate is its weight, with times and registers from its hash; a register keeps its first
 arrival; an element stops as soon as its next arrival is after the last register's. The share of equal registers estimates the
-probability Jaccard similarity, which for weights of 1 is the Jaccard similarity of the shingle sets.
+probability Jaccard similarity J, which for weights of 1 is the Jaccard similarity of the shingle sets.
 
-Texts with the same shingle set are one class. Classes that agree in all registers of a band share a bucket. Buckets'
+Two measures can be asked for. `overlap` (the default) is 2 J / (1 + J): the share of both texts' shingle weight that they have
+in common, for sets Dice's coefficient. `jaccard` is J itself. One is a function of the other, so bands and verification work on
+J in either case; an overlap of 0.8 is a J of 2 / 3.
+
+Texts with the same counted shingles are one class. Classes that agree in all registers of a band share a bucket. Buckets'
 candidates are verified by their exact similarity, in three turns, so that a bucket's pairs are never all listed:
 1. each class with one pivot (a bucket's first class): enough to gather most groups;
 2. in small buckets all pairs, in large ones each class with two pivots, unless already gathered;
 3. in large buckets that still hold several groups, block by block of bounded size, by products of the blocks' shingle
    matrices; only links that join groups leave the task.
 Only links within a group already gathered are left out; groups are the same as by verifying every candidate pair.
+
+There is one plan for every size. Whole texts meet lists of row ids twice (whose shingles are needed, which rows go); there a filter of
+a fixed 8 MB goes before the shuffle, so that only rows that may be on the list are moved.
 """
 
 from __future__ import annotations
@@ -24,23 +31,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkferry.llm._frames import Held, pick, ship, slices, text_offsets
-from sparkferry.llm._words import mix, words
+from sparkferry.llm._frames import Held, pick, ship, slices, text_offsets, with_ids, without_ids
+from sparkferry.llm._words import folded, mix, words
 from sparkferry.llm.components import components, join_hubs
 
 WORDS, SIMILAR = 5, 0.8
-#: Registers of a band, and bands: a pair of similarity 0.8 shares none of them with probability 5e-5.
-BAND, BANDS = 5, 25
+#: Registers of a band, and bands: a pair of overlap 0.8 shares none of them with probability 1.5e-4, one of Jaccard similarity 0.8 with 6e-10.
+BAND, BANDS = 4, 40
 REGISTERS = BAND * BANDS
 #: Buckets up to this size list all their pairs, which is linear in the table; blocks of larger ones have about so many classes.
 SMALL, BLOCK = 16, 512
-#: Candidate sets are found by broadcasting row ids up to so many, else by a shuffled join.
-BROADCAST_ROWS = 500_000
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: What the words of a shingle are multiplied by.
 _PLACES = np.arange(1, 2 * WORDS, 2, dtype=np.uint64) * _ODD
 
 
+def least_jaccard(similar: float, measure: str) -> float:
+    """The probability Jaccard similarity at which a measure reaches `similar`."""
+    if measure not in ("overlap", "jaccard"):
+        raise ValueError(f"unknown measure {measure!r}")
+    return similar / (2 - similar) if measure == "overlap" else similar
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """The sorted distinct shingle hashes and their counts, of each text."""
     text, _, _, h = words(data, offsets)
@@ -109,7 +121,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     """Exact: Jaccard, or with counts probability Jaccard, sum over common i of 1 / sum over j of max(a_j / a_i, b_j / b_i)."""
     if not len(a[0]) or not len(b[0]):
         return 0.0
-    if not counted:
+    if not counted or (a[1] == 1).all() and (b[1] == 1).all():
         both = len(np.intersect1d(a[0], b[0], assume_unique=True))
         return both / (len(a[0]) + len(b[0]) - both)
     every = np.union1d(a[0], b[0])
@@ -140,7 +152,7 @@ def _signed(df: DataFrame, counted: bool) -> DataFrame:
         for whole in batches:
             for b in slices(whole, "text__"):
                 data, offsets = text_offsets(b.column("text__"))
-                sets = shingles(data, offsets)
+                sets = shingles(*text_offsets(folded(b.column("text__"))))
                 bands = bands_of(signatures(sets, counted)).view(np.int64)
                 keys, found = [], []
                 for i, (h, w) in enumerate(sets):
@@ -168,7 +180,7 @@ def _shingle_sets(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text__"):
-                sets = shingles(*text_offsets(b.column("text__")))
+                sets = shingles(*text_offsets(folded(b.column("text__"))))
                 yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array([h.tobytes() for h, _ in sets], pa.binary()), pa.array([w.astype("<i4").tobytes() for _, w in sets], pa.binary())], ["node", "h", "w"])
 
     return rows.mapInArrow(run, schema)
@@ -201,63 +213,81 @@ def _set(rows: dict, side: str, i: int, counted: bool) -> tuple[np.ndarray, np.n
     return np.frombuffer(rows[f"{side}h"][i], np.uint64), np.frombuffer(rows[f"{side}w"][i], "<i4") if counted else np.zeros(0)
 
 
-def _similar_rows(sets: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray, similar: float, counted: bool) -> np.ndarray:
-    """Index pairs (i < j) of sets of different roots that are similar enough, by a product of 0/1 matrices over the shingles that several sets share."""
+def _joining_pairs(sets: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray, least: float, counted: bool) -> list[tuple[int, int]]:
+    """Index pairs of similar sets, enough to join all roots that similar pairs join.
+
+    With P the share of a's weight on shingles that b has too, and Q that of b's on a's, probability Jaccard is at most
+    1 / (1/P + 1/Q - 1): harmonic means are concave, so the sum over common shingles is at most that of their sums. P and Q of all
+    pairs are one product of matrices, over the shingles that several sets have; only pairs that the bound leaves are verified.
+    """
     n, sizes = len(sets), np.array([len(h) for h, _ in sets])
     _, where, times = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True, return_counts=True)
+    share = np.concatenate([w / w.sum() if counted else np.full(len(h), 1 / len(h)) for h, w in sets]).astype(np.float32)
     row, shared = np.repeat(np.arange(n), sizes), times[where] > 1
     place = np.cumsum(times > 1)[where[shared]] - 1
-    common = np.zeros((n, n), np.float32)
+    on = np.zeros((n, n), np.float32)
     order = np.argsort(place, kind="stable")
-    row, place = row[shared][order], place[order]
+    row, place, share = row[shared][order], place[order], share[shared][order]
     for at in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):  # so many shingles at a time
         low, high = np.searchsorted(place, (at, at + 4096))
-        part = np.zeros((n, 4096), np.float32)
-        part[row[low:high], place[low:high] - at] = 1
-        common += part @ part.T
-    near = common > 0 if counted else common >= similar * (sizes[:, None] + sizes - common) - 1e-3
-    found = np.argwhere(np.triu(near & (root[:, None] != root), 1))
-    return np.array([(i, j) for i, j in found if similarity(sets[i], sets[j], counted) >= similar], np.int64).reshape(-1, 2)
+        weight, there = np.zeros((n, 4096), np.float32), np.zeros((n, 4096), np.float32)
+        weight[row[low:high], place[low:high] - at] = share[low:high]
+        there[row[low:high], place[low:high] - at] = 1
+        on += weight @ there.T
+    with np.errstate(divide="ignore"):
+        bound = 1 / (1 / on + 1 / on.T - 1)
+    found = np.argwhere(np.triu((bound >= least - 1e-3) & (root[:, None] != root), 1))
+    found = found[np.argsort(-bound[found[:, 0], found[:, 1]], kind="stable")]
+    group = {r: r for r in root.tolist()}
+
+    def top(r: int) -> int:
+        while group[r] != r:
+            group[r] = group[group[r]]
+            r = group[r]
+        return r
+
+    out = []
+    for i, j in found.tolist():
+        a, b = top(int(root[i])), top(int(root[j]))
+        if a != b and similarity(sets[i], sets[j], counted) >= least:
+            group[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
 
 
-def _cross_links(rows: DataFrame, similar: float, counted: bool) -> DataFrame:
+def _cross_links(rows: DataFrame, least: float, counted: bool) -> DataFrame:
     """Links (a, b) enough to join all groups that are similar across or within (band, i, j), a pair of blocks."""
 
     def run(t: pa.Table) -> pa.Table:
         node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
         w = t.column("w").to_pylist() if counted else [b""] * len(node)
         sets = [(np.frombuffer(h, np.uint64), np.frombuffer(x, "<i4")) for h, x in zip(t.column("h").to_pylist(), w, strict=True)]
-        pairs = _similar_rows(sets, root, similar, counted)
+        pairs = np.array(_joining_pairs(sets, root, least, counted), np.int64).reshape(-1, 2)
         links = np.unique(np.sort(root[pairs], axis=1), axis=0) if len(pairs) else np.zeros((0, 2), np.int64)
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
     return rows.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def _groups(h: DataFrame, similar: float, counted: bool) -> DataFrame:
-    """For each key (a shingle set) of signed rows: n (its rows), class_id, component_id, and the rid of the component's row that stays."""
+def _groups(h: DataFrame, least: float, counted: bool) -> DataFrame:
+    """For each key (a counted shingle set) of signed rows: n (its rows), class_id, component_id, and the rid of the component's row that stays."""
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
     classes = Held(
-        h.where(F.col("key").isNotNull()).groupBy("key").agg(first.alias("rep"), F.count("*").alias("n"), F.first(F.struct(F.col("n").alias("size"), "bands")).alias("s"))
-        .select("key", F.col("rep.rid").alias("node"), F.col("rep.none").alias("none"), F.col("rep.id").alias("id"), "n", F.col("s.size").alias("size"), F.col("s.bands").alias("bands"))
+        h.where(F.col("key").isNotNull()).groupBy("key").agg(first.alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+        .select("key", F.col("rep.rid").alias("node"), F.col("rep.none").alias("none"), F.col("rep.id").alias("id"), "n", "bands")
     )
-    entries = classes.df.select(F.explode("bands").alias("band"), "node", "size")
-    buckets = entries.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("p1"), F.max(F.struct("node", "size")).alias("p2")).where("n > 1")
+    entries = classes.df.select(F.explode("bands").alias("band"), "node")
+    buckets = entries.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("p1"), F.max("node").alias("p2")).where("n > 1")
     total = classes.df.count()
     shared = Held(join_hubs(entries, buckets, "band", total * BANDS))
     m = shared.df
-    # Numbers of distinct shingles bound the similarity of sets only, not that of counts.
-    alike = lambda x, y: F.lit(True) if counted else F.least(x, y) >= similar * F.greatest(x, y)
 
     # Shingle sets of the classes that share a bucket.
-    wanted = m.select(F.col("node").alias("rid")).distinct()
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = h.select("rid", "text__").join(F.broadcast(wanted) if few else wanted, "rid", "left_semi")
-    sets = Held(_shingle_sets(texts))
+    sets = Held(_shingle_sets(with_ids(h.select("rid", "text__"), m.select(F.col("node").alias("rid")), "rid")))
 
-    pairs = m.where((F.col("node") != F.col("p1.node")) & alike(F.col("size"), F.col("p1.size"))).groupBy("node").agg(F.min("p1.node").alias("a")).select("a", F.col("node").alias("b"))
+    pairs = m.where("node != p1").groupBy("node").agg(F.min("p1").alias("a")).select("a", F.col("node").alias("b"))
     done = Held(_verified(pairs, sets.df, counted))
-    links = done.df.where(F.col("s") >= similar).select("a", "b")
+    links = done.df.where(F.col("s") >= least).select("a", "b")
     roots = components(links)
 
     def rooted(rows: DataFrame, column: str, as_: str) -> DataFrame:
@@ -266,12 +296,11 @@ def _groups(h: DataFrame, similar: float, counted: bool) -> DataFrame:
         return found.withColumn(as_, F.coalesce("__r", column)).drop("__r")
 
     low, high = m.where(F.col("n") <= SMALL), m.where(F.col("n") > SMALL)
-    small = low.select("band", F.col("node").alias("a"), F.col("size").alias("x")).join(low.select("band", F.col("node").alias("b"), F.col("size").alias("y")), "band")
-    small = small.where((F.col("a") < F.col("b")) & alike(F.col("x"), F.col("y"))).select("a", "b").distinct()
-    stars = high.select(F.col("p1.node").alias("a"), F.col("node").alias("b")).unionByName(high.select(F.col("node").alias("a"), F.col("p2.node").alias("b"))).where("a < b").distinct()
+    small = low.select("band", F.col("node").alias("a")).join(low.select("band", F.col("node").alias("b")), "band").where("a < b").select("a", "b").distinct()
+    stars = high.select(F.col("p1").alias("a"), F.col("node").alias("b")).unionByName(high.select(F.col("node").alias("a"), F.col("p2").alias("b"))).where("a < b").distinct()
     open_ = rooted(rooted(small, "a", "ra"), "b", "rb").where("ra != rb").select("a", "b").unionByName(stars).distinct().join(done.df.select("a", "b"), ["a", "b"], "left_anti")
     more = Held(_verified(open_, sets.df, counted))
-    links = done.df.unionByName(more.df).where(F.col("s") >= similar).select("a", "b")
+    links = done.df.unionByName(more.df).where(F.col("s") >= least).select("a", "b")
     roots = components(links)
 
     # Large buckets that hold several groups.
@@ -282,7 +311,7 @@ def _groups(h: DataFrame, similar: float, counted: bool) -> DataFrame:
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         rest = big.join(held_split.df, "band", "left_semi").select("band", "node", "root", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         rest = rest.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other").join(sets.df, "node")
-        last = Held(_cross_links(rest, similar, counted))
+        last = Held(_cross_links(rest, least, counted))
         roots = components(links.unionByName(last.df))
         last.drop()
     for used in (shared, sets, done, more, held_split):
@@ -293,34 +322,32 @@ def _groups(h: DataFrame, similar: float, counted: bool) -> DataFrame:
     return join_hubs(of_class, best, "root", total).select("key", F.col("copies").alias("n"), F.col("id").alias("class_id"), F.col("best.id").alias("component_id"), F.col("best.node").alias("keeper"))
 
 
-def grouped(df: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR, counted: bool = False) -> DataFrame:
-    """A row for each row: the key, class_id (the smallest key of the rows with the same shingle set), component_id (the
+def grouped(df: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR, counted: bool = True, measure: str = "overlap") -> DataFrame:
+    """A row for each row: the key, class_id (the smallest key of the rows with the same counted shingles), component_id (the
     smallest key that links of at least `similar` lead to), n_class (rows of its class) and kept (true for one row of each
     component: the one of the smallest key).
 
-    Words are runs of ASCII letters and digits, underscores and all other alphabets' characters, in lower case. Texts
+    Words are runs of letters, digits and underscores, in lower case; punctuation and blanks of all alphabets part them. Texts
     without a word are alike if they are equal. Null and empty texts link with nothing: each is kept, its ids are its
     own key. Null keys come after others, and repeated rows are copies of each other; an empty table gives an empty one;
-    other columns may have any name. counted: shingles weigh their count, and similarity is the probability Jaccard.
+    other columns may have any name. counted: shingles weigh their count, else 1. measure: `overlap` or `jaccard`.
     """
     ship(df.sparkSession)
     h = Held(_signed(pick(df, id=key, text__=text), counted)).df
-    classes = _groups(h, similar, counted)
+    classes = _groups(h, least_jaccard(similar, measure), counted)
     alike = join_hubs(h.where(F.col("key").isNotNull()).select("id", "rid", "key"), classes, "key", h.count())
     alike = alike.select(F.col("id").alias(key), "class_id", "component_id", F.col("n").alias("n_class"), (F.col("keeper") == F.col("rid")).alias("kept"))
     alone = h.where(F.col("key").isNull()).select(F.col("id").alias(key), F.col("id").alias("class_id"), F.col("id").alias("component_id"), F.lit(1).cast("long").alias("n_class"), F.lit(True).alias("kept"))
     return alike.unionByName(alone)
 
 
-def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR, counted: bool = False) -> DataFrame:
-    """The rows of df that `grouped` would keep, with all columns."""
+def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR, counted: bool = True, measure: str = "overlap") -> DataFrame:
+    """The rows of df that `grouped` would keep, with all columns. Rows that nothing is like are not shuffled."""
     ship(df.sparkSession)
     names = {f"k{i}": c for i, c in enumerate(df.columns)}
     places = {c: k for k, c in names.items()}
     wide = pick(df, **names).withColumns({"id": F.col(places[key]), "text__": F.col(places[text])})
     h = Held(_signed(wide.drop(places[text]), counted)).df
-    keepers = Held(_groups(h, similar, counted).select(F.col("keeper").alias("rid")).distinct())
-    few = keepers.df.count() <= BROADCAST_ROWS
-    alike = h.where(F.col("key").isNotNull()).join(F.broadcast(keepers.df) if few else keepers.df, "rid", "left_semi")
-    kept = alike.unionByName(h.where(F.col("key").isNull()))
-    return kept.select(*[F.col("text__" if c == text else k).alias(c) for k, c in names.items()])
+    classes = _groups(h, least_jaccard(similar, measure), counted).select("key", "n", "keeper")
+    gone = Held(join_hubs(h.where(F.col("key").isNotNull()).select("rid", "key"), classes, "key", h.count()).where("keeper != rid").select("rid"))
+    return without_ids(h, gone.df, "rid").select(*[F.col("text__" if c == text else k).alias(c) for k, c in names.items()])

@@ -47,19 +47,34 @@ def test_components_of_nothing(spark):
     assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def shingle_set(text):
-    words = re.findall(r"[a-z0-9_\u0080-\U0010ffff]+", text.lower())
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+BLANKS = re.compile("[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u1680\u2000-\u206f\u3000-\u303f\ufeff\uff01-\uff0f]")
 
 
-def brute_groups(texts, similar=0.8):
-    sets = [shingle_set(t or "") for t in texts]
+def shingle_counts(text):
+    words = re.findall(r"[a-z0-9_\u0080-\U0010ffff]+", BLANKS.sub(" ", text.lower()))
+    return collections.Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else collections.Counter()
+
+
+def probability_jaccard(p, q):
+    """By its definition, over all shingles of both."""
+    common = p.keys() & q.keys()
+    if min(sum(p[g] for g in common) / sum(p.values()), sum(q[g] for g in common) / sum(q.values())) < 0.3:
+        return 0.0  # it is at most either share
+    if max(p.values()) == max(q.values()) == 1:
+        return len(common) / len(p | q)
+    every = list(p | q)
+    x, y = np.array([p[g] for g in every], float), np.array([q[g] for g in every], float)
+    return sum(1 / np.maximum(x / p[g], y / q[g]).sum() for g in common)
+
+
+def brute_groups(texts, similar=0.8, measure="overlap"):
+    sets = [shingle_counts(t or "") for t in texts]
     pairs = []
     for i in range(len(texts)):
         for j in range(i):
             if sets[i] and sets[j]:
-                both = len(sets[i] & sets[j])
-                if both / (len(sets[i]) + len(sets[j]) - both) >= similar:
+                s = probability_jaccard(sets[i], sets[j])
+                if (2 * s / (1 + s) if measure == "overlap" else s) >= similar - 1e-12:
                     pairs.append((i, j))
             elif texts[i] and texts[i] == texts[j]:
                 pairs.append((i, j))
@@ -69,10 +84,10 @@ def brute_groups(texts, similar=0.8):
 def check(spark, texts, **options):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = {r.doc_id: r for r in near_dup.grouped(df, **options).collect()}
-    want = brute_groups(texts)
+    want = brute_groups(texts, measure=options.get("measure", "overlap"))
     assert {i: r.component_id for i, r in got.items()} == dict(enumerate(want))
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
-    kept = sorted(r.doc_id for r in near_dup.deduplicated(df).collect())
+    kept = sorted(r.doc_id for r in near_dup.deduplicated(df, **options).collect())
     assert kept == sorted(set(want))
 
 
@@ -83,8 +98,8 @@ def varied(r, words, changes):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("small,block", [(16, 128), (2, 4)])
-def test_groups_like_brute_force(spark, monkeypatch, small, block):
+@pytest.mark.parametrize("small,block,measure", [(16, 128, "overlap"), (2, 4, "overlap"), (2, 4, "jaccard")])
+def test_groups_like_brute_force(spark, monkeypatch, small, block, measure):
     monkeypatch.setattr(near_dup, "SMALL", small)
     monkeypatch.setattr(near_dup, "BLOCK", block)
     r = random.Random(7)
@@ -96,7 +111,10 @@ def test_groups_like_brute_force(spark, monkeypatch, small, block):
     chain = [f"c{i}" for i in range(400)]
     texts += [" ".join(chain[12 * k : 12 * k + 150]) for k in range(20)]  # each near the next, far from the others
     texts += ["one two", "One, two!", "one two three", "", "", None, "%%%", "%%%", "%%", texts[0], texts[0].upper()]
-    check(spark, texts)
+    for g in range(4):  # repeated lines: sets of unlike size, and weights that outvote them
+        line = " ".join(f"l{g}x{i}" for i in range(6))
+        texts += [" ".join([line] * r.randrange(3, 60) + [f"t{r.randrange(10**6)}" for _ in range(r.randrange(40))]) for _ in range(8)]
+    check(spark, texts, measure=measure)
 
 
 def test_groups_of_documents(spark):
@@ -107,10 +125,43 @@ def test_groups_of_documents(spark):
     assert got == {ids[i]: ids[w] for i, w in enumerate(want)}
 
 
-def test_groups_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BROADCAST_ROWS", -1)
-    r = random.Random(9)
-    check(spark, [varied(r, [f"g{g}x{i}" for i in range(100)], r.randrange(3)) for g in range(5) for _ in range(4)] + ["", None, "%"])
+def test_words_beyond_ascii(spark):
+    text = "L\u2019\u00e9t\u00e9 \u00e0 Gen\u00e8ve \u00ab\u00a0o\u00f9 l\u2019\u00c9glise est belle\u00a0\u00bb \u2014 \u00f1and\u00fa \u00dcber allen Gipfeln ist Ruh " * 2
+    check(spark, [text, text.upper(), text.replace("\u2014", "\u2013").replace("\u2019", "'"), "\u03a3\u03cd\u03bd\u03bf\u03bb\u03bf \u03b1 \u03b2 \u03b3 \u03b4 \u03b5", "\u0416\u0418\u0417\u041d\u042c \u0430 \u0431 \u0432 \u0433", "\u0436\u0438\u0437\u043d\u044c \u0410 \u0411 \u0412 \u0413"])
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 15, 64])
+def test_rows_by_ids(spark, monkeypatch, bits):
+    from sparkferry.llm import _frames
+
+    monkeypatch.setattr(_frames, "FILTER_BITS", bits)
+    rows = spark.range(5000).select(F.col("id").alias("rid"), F.lit("x").alias("v")).repartition(3)
+    ids = spark.createDataFrame([(i,) for i in range(0, 6000, 7)] * 2, "rid long")
+    assert sorted(r.rid for r in _frames.with_ids(rows, ids, "rid").collect()) == list(range(0, 5000, 7))
+    assert sorted(r.rid for r in _frames.without_ids(rows, ids, "rid").collect()) == [i for i in range(5000) if i % 7]
+    none = ids.where("rid < 0")
+    assert _frames.with_ids(rows, none, "rid").count() == 0 and _frames.without_ids(rows, none, "rid").count() == 5000
+    if bits == 1 << 26:  # the filter itself: no id is missed, few others pass
+        may = {r.rid for r in _frames._sifted(rows, ids, "rid").where("__may").collect()}
+        assert set(range(0, 5000, 7)) <= may and len(may) < 720
+
+
+def test_joining_pairs_bound_loses_nothing():
+    r = np.random.default_rng(11)
+    for _ in range(20):
+        sets = []
+        for _ in range(25):
+            h = np.unique(r.integers(0, 25, int(r.integers(1, 30))).astype(np.uint64))
+            sets.append((h, r.integers(1, 12, len(h)) ** 2))
+        root = np.arange(25) * 3
+        for counted in (False, True):
+            want = united(25, [(i, j) for i in range(25) for j in range(i) if near_dup.similarity(sets[i], sets[j], counted) >= 0.5])
+            assert united(25, near_dup._joining_pairs(sets, root, 0.5, counted)) == want
+
+
+def test_unknown_measure(spark):
+    with pytest.raises(ValueError):
+        near_dup.grouped(empty(spark), measure="cosine")
 
 
 def test_similarity_of_counts():
@@ -248,13 +299,8 @@ def test_a_hot_key_is_joined(spark):
 def test_counted_groups_of_unequal_sets(spark):
     common = "one two three four five " * 100
     texts = [common, common + " ".join(f"w{i}" for i in range(6)), "one two three four five " + " ".join(f"w{i}" for i in range(6))]
-    sets = [collections.Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
-    assert len(sets[0]) < 0.8 * len(sets[1])
-
-    def similarity(a, b):  # probability Jaccard, by its definition
-        p, q = ({g: n / max(c.values()) for g, n in c.items()} for c in (a, b))
-        return sum(1 / sum(max(p.get(h, 0) / p[g], q.get(h, 0) / q[g]) for h in p | q) for g in p.keys() & q.keys())
-
-    assert similarity(sets[0], sets[1]) > 0.9 and similarity(sets[0], sets[2]) < 0.8 and similarity(sets[1], sets[2]) < 0.8
+    sets = [shingle_counts(t) for t in texts]
+    assert len(sets[0]) < 0.6 * len(sets[1])
+    assert probability_jaccard(sets[0], sets[1]) > 0.9 and probability_jaccard(sets[0], sets[2]) < 0.6 and probability_jaccard(sets[1], sets[2]) < 0.6
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_dup.grouped(df, counted=True).collect()} == {0: 0, 1: 0, 2: 2}
