@@ -10,6 +10,8 @@ from sparkferry.functions.definitions import FALSE, TRUE
 from sparkferry.functions.types import normalize
 
 #: Spellings of true and false in values: those of defaults but "y" and "n".
+#: White space of any kind at either end.
+BLANKS = r"(?U)^\s+|\s+$"
 TRUE_TEXT, FALSE_TEXT = tuple(x for x in TRUE if x != "y"), tuple(x for x in FALSE if x != "n")
 
 
@@ -25,7 +27,7 @@ def to_boolean(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.IntegralType, T.DecimalType)):
         return value == 1
     if isinstance(kind, T.StringType):
-        text = F.lower(F.trim(value))
+        text = F.lower(F.regexp_replace(value, BLANKS, ""))
         return F.when(text.isin(*TRUE_TEXT), F.lit(True)).when(text.isin(*FALSE_TEXT), F.lit(False))
     return value.try_cast("boolean")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkferry.functions import definitions as D
-from sparkferry.functions.types import ALIASES, RULES, map_columns, normalize, normalized
+from sparkferry.functions.types import map_columns, normalized
 from sparkferry.operators import coerce, merge, paging, validate
 from sparkferry.plans import ddl, graph, runner, schema_diff
 from sparkferry.plans.model import Column, Constraint, Index, Result, Table
@@ -115,20 +115,20 @@ def coerce_bool_float(spark, sf_dir):
     return coerce.coerce(rows, {"flag": "boolean"}, "postgres")
 
 
-_SPELLED = "case l_linenumber when 1 then ' TRUE ' when 2 then 'f' when 3 then 'Yes' when 4 then 'off' when 5 then l_returnflag else null end"
+_SPELLED = "case l_linenumber when 1 then concat(' TRUE ', chr(9)) when 2 then concat(chr(10), 'f') when 3 then 'Yes' when 4 then 'off' when 5 then l_returnflag when 6 then concat(chr(13), chr(10)) else null end"
 
 
 @register(
     "coerce_bool_string",
-    f"""select l_orderkey, was, case when lower(trim(was)) in ('1', 'true', 't', 'yes', 'on') then true
-  when lower(trim(was)) in ('0', 'false', 'f', 'no', 'off') then false end as flag from (select l_orderkey, {_SPELLED} as was from lineitem)""",
+    rf"""select l_orderkey, was, case when lower(regexp_replace(was, '^\s+|\s+$', '', 'g')) in ('1', 'true', 't', 'yes', 'on') then true
+  when lower(regexp_replace(was, '^\s+|\s+$', '', 'g')) in ('0', 'false', 'f', 'no', 'off') then false end as flag from (select l_orderkey, {_SPELLED} as was from lineitem)""",
 )
 def coerce_bool_string(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(_SPELLED).alias("was")).withColumn("flag", F.col("was"))
     return coerce.coerce(rows, {"flag": "bool"}, "postgres")
 
 
-@register("coerce_unfit", f"select l_orderkey, was from (select l_orderkey, {_SPELLED} as was from lineitem) where was is not null and lower(trim(was)) not in ('1', 'true', 't', 'yes', 'on', '0', 'false', 'f', 'no', 'off')")
+@register("coerce_unfit", rf"select l_orderkey, was from (select l_orderkey, {_SPELLED} as was from lineitem) where was is not null and lower(regexp_replace(was, '^\s+|\s+$', '', 'g')) not in ('1', 'true', 't', 'yes', 'on', '0', 'false', 'f', 'no', 'off')")
 def coerce_unfit(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(_SPELLED).alias("was"))
     return coerce.unfit(rows, {"was": "bool"}, "postgres")
@@ -338,29 +338,31 @@ def fk_order(spark, sf_dir):
 
 # --- types and definitions -------------------------------------------------------------------------------------------
 
-TYPE_NAMES = ["VARCHAR(255)", "INT(11) unsigned zerofill", "character varying(100)", "BOOLEAN", "timestamp(3) with time zone", "bit varying(10)", "GEOMETRY(Point,4326)", "DECIMAL(10,2)", "  varchar( 50 )  ", "tinyint(1)", "mediumint(8)", "json", "enum('a','b')", "double precision", "mytype(foo bar)", "year", "longblob"]
-_NORMAL_SQL = r"""regexp_replace(trim(regexp_replace(trim(lower(regexp_replace(type, '\s+', ' ', 'g'))), '\s(unsigned|zerofill)', '', 'g')), '^([a-z][a-z\s]*?)\s*\(\s*\d+(?:\s*,\s*\d+)?\s*\)\s*(.*)$', '\1 \2')"""
-_ALIAS_SQL = "case trim({0}) " + " ".join(f"when '{a}' then '{b}'" for a, b in ALIASES.items()) + " else trim({0}) end"
-_TYPES_SQL = f"(select * from ({sql_values([(t,) for t in TYPE_NAMES])}) v(type))"
+TYPE_NAMES = ["CHAR(8)", "bigint(20) unsigned", "character varying(40)", "Double Precision", "time(2) without time zone", "smallint", "POINT", "NUMERIC( 12 , 4 )", "tinyint(1)", "tinyint(4)", "set('x','y')", "enum('on','off')", "mediumtext", "varbinary(16)", "datetime(3)", "year", "float", "json", "hstore"]
+#: Canonical names that a type's spelling must lead to.
+NORMALIZED = [
+    ("CHAR(8)", "char"), ("bigint(20) unsigned", "bigint"), ("character varying(40)", "varchar"), ("Double Precision", "double"), ("time(2) without time zone", "time"), ("smallint", "smallint"), ("POINT", "point"),
+    ("NUMERIC( 12 , 4 )", "numeric"), ("tinyint(1)", "tinyint"), ("tinyint(4)", "tinyint"), ("set('x','y')", "set('x','y')"), ("enum('on','off')", "enum('on','off')"), ("mediumtext", "mediumtext"), ("varbinary(16)", "varbinary"),
+    ("datetime(3)", "datetime"), ("year", "year"), ("float", "float"), ("json", "json"), ("hstore", "hstore"),
+]
 
 
-@register("normalize_types", f"select type, {_ALIAS_SQL.format(_NORMAL_SQL)} as normal from {_TYPES_SQL}")
+@register("normalize_types", f"select * from ({sql_values(NORMALIZED)}) v(type, normal)")
 def normalize_types(spark, sf_dir):
     return relation(spark, "type", [(t,) for t in TYPE_NAMES]).select("type", normalized(F.col("type")).alias("normal"))
 
 
-def _rule_rows(src, dst):
-    return [(normalize(n.replace("_", " ").removesuffix("[]")) + "[]" * n.endswith("[]"), t, s) for names, t, s in RULES[src, dst] for n in names.split()]
+#: What each of the names must become; written out, so that a wrong rule shows.
+MAPPED = [
+    ("CHAR(8)", "char", "CHAR", "apply_source"), ("bigint(20) unsigned", "bigint", "BIGINT", "apply_source"), ("character varying(40)", "varchar", "VARCHAR", "apply_source"), ("Double Precision", "double", "DOUBLE PRECISION", "apply_source"),
+    ("time(2) without time zone", "time", "TIME WITHOUT TIME ZONE", "apply_source"), ("smallint", "smallint", "SMALLINT", "apply_source"), ("POINT", "point", "point", "ignore_source"), ("NUMERIC( 12 , 4 )", "numeric", "NUMERIC", "apply_source"),
+    ("tinyint(1)", "tinyint", "BOOLEAN", "use_target_defined"), ("tinyint(4)", "tinyint", "SMALLINT", "apply_source"), ("set('x','y')", "set", "TEXT", "ignore_source"), ("enum('on','off')", "enum", "VARCHAR(255)", "use_target_defined"),
+    ("mediumtext", "mediumtext", "TEXT", "ignore_source"), ("varbinary(16)", "varbinary", "BYTEA", "apply_source"), ("datetime(3)", "datetime", "TIMESTAMP WITHOUT TIME ZONE", "apply_source"), ("year", "year", "SMALLINT", "ignore_source"),
+    ("float", "float", "REAL", "apply_source"), ("json", "json", "JSONB", "ignore_source"), ("hstore", "hstore", "TEXT", None),
+]
 
 
-@register(
-    "map_types",
-    f"""with r(key, target, strategy) as ({sql_values(sorted(set(_rule_rows("mysql", "postgres"))))}),
-n as (select type, {_ALIAS_SQL.format(_NORMAL_SQL)} as k0 from {_TYPES_SQL}),
-k as (select type, case when regexp_matches(k0, '^(enum|set)\\s*\\(') then regexp_extract(k0, '^(enum|set)', 1) else k0 end as key from n)
-select type, k.key, case when lower(trim(type)) = 'tinyint(1)' then 'BOOLEAN' else coalesce(target, 'TEXT') end as target,
-  case when lower(trim(type)) = 'tinyint(1)' then 'use_target_defined' else strategy end as strategy from k left join r on k.key = r.key""",
-)
+@register("map_types", f"select * from ({sql_values(MAPPED)}) v(type, key, target, strategy)")
 def map_types(spark, sf_dir):
     return map_columns(relation(spark, "type", [(t,) for t in TYPE_NAMES]), spark, "mysql", "postgres").select("type", "key", "target", "strategy")
 
@@ -373,7 +375,10 @@ def normalize_fk_action(spark, sf_dir):
     return relation(spark, "raw action", [(a, D.action(a)) for a in ACTIONS])
 
 
-DEFAULTS = [("CURRENT_TIMESTAMP ON UPDATE CURRENT_TIMESTAMP", "mysql", "current_timestamp"), ("b'1'", "mysql", "1"), ("'hello world'::text", "postgres", "hello world"), ("('123'::text)::integer", "postgres", "123"), ("nextval('s'::regclass)", "postgres", "nextval"), ("NuLl", "sqlite", "null"), ("YES", "mysql", "1"), ("gen_random_uuid()", "postgres", "uuid_function"), ("", "mysql", "")]
+DEFAULTS = [
+    ("CURRENT_TIMESTAMP(6) ON UPDATE CURRENT_TIMESTAMP(6)", "mysql", "current_timestamp"), ("b'0'", "mysql", "0"), ("'new order'::character varying", "postgres", "new order"), ("('42'::text)::bigint", "postgres", "42"),
+    ("nextval('orders_seq'::regclass)", "postgres", "nextval"), ("null", "sqlite", "null"), ("ON", "mysql", "1"), ("uuid_generate_v4()", "postgres", "uuid_function"), ("", "sqlite", ""), ("-0.5", "sqlite", "-0.5"),
+]
 
 
 @register("normalize_defaults", f"select * from ({sql_values(DEFAULTS)}) v(raw, dialect, normal)")
@@ -429,7 +434,7 @@ OLD_BLOG = Table(
 )
 _STATEMENTS = [
     ("DROP_CONSTRAINT", 'ALTER TABLE "posts" DROP CONSTRAINT IF EXISTS "chk_views"'), ("DROP_INDEX", 'DROP INDEX IF EXISTS "ix_old"'), ("ALTER_COLUMN", 'ALTER TABLE "posts" DROP COLUMN IF EXISTS "gone"'),
-    ("ALTER_COLUMN", 'ALTER TABLE "posts" ALTER COLUMN "title" SET NOT NULL'), ("ALTER_COLUMN", 'ALTER TABLE "posts" ALTER COLUMN "title" TYPE VARCHAR(200) USING "title"::VARCHAR'),
+    ("ALTER_COLUMN", 'ALTER TABLE "posts" ALTER COLUMN "title" SET NOT NULL'), ("ALTER_COLUMN", 'ALTER TABLE "posts" ALTER COLUMN "title" TYPE VARCHAR(200) USING CAST("title" AS VARCHAR)'),
     ("ALTER_COLUMN", 'ALTER TABLE "posts" ADD COLUMN "user_id" INTEGER NOT NULL'), ("ADD_INDEX", 'CREATE INDEX IF NOT EXISTS "ix_views" ON "posts" ("views")'),
     ("ADD_CONSTRAINT", 'ALTER TABLE "posts" ADD CONSTRAINT "chk_views" CHECK (views >= 0)'),
     ("DEFERRED", 'ALTER TABLE "posts" ADD CONSTRAINT "fk_user" FOREIGN KEY ("user_id") REFERENCES "users" ("id") ON DELETE CASCADE DEFERRABLE INITIALLY DEFERRED'),

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from sparkferry.functions.names import unquote
+from sparkferry.functions.tokens import Token, statements, written
 from sparkferry.plans import ddl
 from sparkferry.plans.ddl import Phase, Statement
 
@@ -53,71 +54,65 @@ def execute(statements: list[Statement], run: Callable[[str], object], dialect:
     return done
 
 
+#: What the words that begin a statement, or an ALTER TABLE's action, make of it.
+STARTS = {
+    ("CREATE", "TABLE"): Phase.CREATE_TABLE, ("DROP", "TABLE"): Phase.DROP_TABLE, ("CREATE", "INDEX"): Phase.ADD_INDEX, ("CREATE", "UNIQUE", "INDEX"): Phase.ADD_INDEX, ("DROP", "INDEX"): Phase.DROP_INDEX,
+}
+ACTIONS = {
+    ("ADD", "CONSTRAINT"): Phase.ADD_CONSTRAINT, ("DROP", "CONSTRAINT"): Phase.DROP_CONSTRAINT, ("DROP", "FOREIGN", "KEY"): Phase.DROP_CONSTRAINT, ("DROP", "CHECK"): Phase.DROP_CONSTRAINT,
+    ("DROP", "PRIMARY", "KEY"): Phase.DROP_CONSTRAINT, ("ADD", "COLUMN"): Phase.ALTER_COLUMN, ("DROP", "COLUMN"): Phase.ALTER_COLUMN, ("MODIFY", "COLUMN"): Phase.ALTER_COLUMN, ("ALTER", "COLUMN"): Phase.ALTER_COLUMN,
+}
+KINDS = (("PRIMARY", "KEY"), ("FOREIGN", "KEY"), ("UNIQUE",), ("CHECK",))
+
+
 def split(text: str) -> list[str]:
     """Statements of a script, without comments; semicolons and dashes within quotes are text."""
-    out, now, i = [], "", 0
-    while i < len(text):
-        c = text[i]
-        if c in "'\"`":
-            end = i + 1
-            while end < len(text) and not (text[end] == c and text[end + 1 : end + 2] != c):
-                end += 2 if text[end] == c else 1
-            now += text[i : end + 1]
-            i = end + 1
-        elif text.startswith("--", i):
-            i = text.find("\n", i) if "\n" in text[i:] else len(text)
-        elif text.startswith("/*", i):
-            i = text.index("*/", i) + 2 if "*/" in text[i:] else len(text)
-        elif c == ";":
-            out.append(now)
-            now, i = "", i + 1
-        else:
-            now += c
-            i += 1
-    return [s for s in (re.sub(r"[ \t]*\n\s*", "\n", x).strip() for x in [*out, now]) if s]
+    return [written(s) for s in statements(text)]
 
 
-_NAME = r"((?:\"[^\"]*\"|`[^`]*`|[\w.-]+))"
+def _leads(found: list[Token], forms) -> tuple[str, ...] | None:
+    return next((f for f in forms if tuple(t.text.upper() for t in found[: len(f)]) == f), None)
 
 
-def _kind(name: str, sql: str) -> str:
-    """A constraint's kind, from what is said or, for a plain DROP CONSTRAINT, from its name."""
-    for kind in ("PRIMARY KEY", "FOREIGN KEY", "UNIQUE", "CHECK"):
-        if re.search(rf"\b{kind.replace(' ', r'\s+')}\b", sql, re.I):
-            return kind
-    low = name.lower()
-    if "fk_" in low or "_fk" in low or low.endswith("fkey"):
-        return "FOREIGN KEY"
-    if "pk_" in low or "_pk" in low or low.endswith("pkey"):
-        return "PRIMARY KEY"
-    if "uq_" in low or "_uq" in low or low.endswith("key"):
-        return "UNIQUE"
-    return "CHECK" if re.search(r"chk_|_chk|^check_|_check$", low) else ""
+def _name(found: list[Token], dialect: str) -> tuple[str, list[Token]]:
+    """The name that comes next, after IF [NOT] EXISTS, and what follows it."""
+    while found and found[0].text.upper() in ("IF", "NOT", "EXISTS"):
+        found = found[1:]
+    n = 1
+    while n + 1 < len(found) and found[n].text == ".":  # schema.table
+        n += 2
+    return (unquote(found[n - 1].text, dialect) if found[n - 1].text[:1] != '"' else found[n - 1].content) if found else "", found[n:]
 
 
-def parse(text: str, dialect: str) -> list[Statement]:
-    """A script as typed statements. Raises ValueError for a statement of no known kind."""
+def parse(text: str, dialect: str, kinds: Mapping[str, str] | None = None) -> list[Statement]:
+    """A script as typed statements. Raises ValueError for a statement of no known kind.
+
+    A constraint's kind is what its statement says. A plain DROP CONSTRAINT says none: `kinds` (constraint names to kinds, from a
+    catalog) may, and a constraint that it lacks is dropped after those of known kinds.
+    """
     out = []
-    for sql in split(text):
-        find = lambda pattern: re.search(pattern.replace("NAME", _NAME).replace(" ", r"\s+"), sql, re.I)  # noqa: B023, E731
-        if m := find(r"^CREATE TABLE (?:IF NOT EXISTS )?NAME"):
-            s = (Phase.CREATE_TABLE, 0, m[1])
-        elif m := find(r"^DROP TABLE (?:IF EXISTS )?NAME"):
-            s = (Phase.DROP_TABLE, 0, m[1])
-        elif m := find(r"^CREATE (?:UNIQUE )?INDEX (?:IF NOT EXISTS )?NAME"):
-            s = (Phase.ADD_INDEX, 0, m[1])
-        elif m := find(r"^DROP INDEX (?:IF EXISTS )?NAME"):
-            s = (Phase.DROP_INDEX, 0, m[1])
-        elif m := find(r"^ALTER TABLE .*?ADD CONSTRAINT NAME"):
-            deferred = re.search(r"DEFERRABLE\s+INITIALLY\s+DEFERRED", sql, re.I)
-            s = (Phase.DEFERRED if deferred else Phase.ADD_CONSTRAINT, ddl.ADD_RANK.get(_kind(unquote(m[1], dialect), sql), 5), m[1])
-        elif m := find(r"^ALTER TABLE .*?DROP (?:CONSTRAINT|FOREIGN KEY|CHECK) (?:IF EXISTS )?NAME"):
-            s = (Phase.DROP_CONSTRAINT, ddl.DROP_RANK.get(_kind(unquote(m[1], dialect), sql), 6), m[1])
-        elif find(r"^ALTER TABLE .*?DROP PRIMARY KEY"):
-            s = (Phase.DROP_CONSTRAINT, ddl.DROP_RANK["PRIMARY KEY"], "PRIMARY")
-        elif m := find(r"^ALTER TABLE .*?(DROP|MODIFY|ALTER|ADD) COLUMN (?:IF (?:NOT )?EXISTS )?NAME"):
-            s = (Phase.ALTER_COLUMN, ddl.COLUMN_RANK.get(m[1].upper(), 2), m[2])
-        else:
+    for found in statements(text):
+        sql = written(found)
+        if form := _leads(found, STARTS):
+            name, _ = _name(found[len(form) :], dialect)
+            out.append(Statement(STARTS[form], 0, name, sql))
+            continue
+        _, rest = _name(found[2:], dialect) if _leads(found, [("ALTER", "TABLE")]) else ("", [])
+        form = _leads(rest, ACTIONS)
+        if form is None:
             raise ValueError(f"unknown statement: {sql}")
-        out.append(Statement(s[0], s[1], unquote(s[2], dialect), sql))
+        phase = ACTIONS[form]
+        if phase == Phase.ALTER_COLUMN:
+            name, _ = _name(rest[len(form) :], dialect)
+            rank = ddl.COLUMN_RANK.get(form[0], ddl.COLUMN_RANK["MODIFY"])
+        elif form == ("DROP", "PRIMARY", "KEY"):
+            name, rank = "PRIMARY", ddl.DROP_RANK["PRIMARY KEY"]
+        else:
+            name, body = _name(rest[len(form) :], dialect)
+            said = _leads(rest[1:], KINDS) or _leads(body, KINDS)
+            kind = " ".join(said) if said else (kinds or {}).get(name, "")
+            rank = (ddl.ADD_RANK if phase == Phase.ADD_CONSTRAINT else ddl.DROP_RANK).get(kind, 5)
+            if phase == Phase.ADD_CONSTRAINT and [t.text.upper() for t in found[-3:]] == ["DEFERRABLE", "INITIALLY", "DEFERRED"]:
+                phase = Phase.DEFERRED
+        out.append(Statement(phase, rank, name, sql))
     return out

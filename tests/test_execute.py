@@ -14,13 +14,15 @@ ALTER TABLE `t` DROP PRIMARY KEY"""
 
 
 def test_scripts_are_split_and_ordered():
-    got = execute.parse(SCRIPT, "postgres")
+    got = execute.parse(SCRIPT, "postgres", {"t_b_fkey": "FOREIGN KEY", "t_pkey": "PRIMARY KEY"})
     assert "'x;--y'" in got[0].sql and len(got) == 9
     assert [(s.phase.name, s.name) for s in ddl.in_order(got)] == [
         ("DROP_CONSTRAINT", "t_b_fkey"), ("DROP_CONSTRAINT", "PRIMARY"), ("DROP_CONSTRAINT", "t_pkey"), ("DROP_INDEX", "ix"), ("CREATE_TABLE", "t"), ("ALTER_COLUMN", "d"), ("ALTER_COLUMN", "c"), ("ADD_INDEX", "ux"), ("DEFERRED", "fk"),
     ]
     with pytest.raises(ValueError):
         execute.parse("GRANT ALL", "mysql")
+    unknown = execute.parse("ALTER TABLE t DROP CONSTRAINT some_name; ALTER TABLE s.t DROP FOREIGN KEY `b`; alter table t add constraint c check (a > 0); ALTER TABLE t MODIFY COLUMN `q` int", "mysql")
+    assert [(s.phase.name, s.rank, s.name) for s in ddl.in_order(unknown)] == [("DROP_CONSTRAINT", 1, "b"), ("DROP_CONSTRAINT", 5, "some_name"), ("ALTER_COLUMN", 2, "q"), ("ADD_CONSTRAINT", 3, "c")]
 
 
 def test_a_plan_runs_and_runs_again(tmp_path):

@@ -9,10 +9,10 @@ from sparkferry.plans.model import Column, Constraint, Index, Result, Table, exi
 
 
 def test_order_prefers_names_and_references():
-    edges = {("posts", "users"), ("comments", "posts"), ("comments", "users"), ("post_categories", "posts"), ("post_categories", "categories"), ("product_variants", "products")}
-    tables = ["users", "categories", "posts", "comments", "post_categories", "products", "product_variants"]
-    assert graph.ordered(tables, edges) == ["categories", "products", "product_variants", "users", "posts", "comments", "post_categories"]
-    assert graph.levels(tables, edges) == [["categories", "products", "users"], ["posts", "product_variants"], ["comments", "post_categories"]]
+    edges = {("loans", "readers"), ("fines", "loans"), ("fines", "readers"), ("copies", "books"), ("loans", "copies"), ("authors_books", "authors"), ("authors_books", "books")}
+    tables = ["readers", "loans", "books", "fines", "copies", "authors", "authors_books"]
+    assert graph.ordered(tables, edges) == ["authors", "books", "authors_books", "copies", "readers", "loans", "fines"]
+    assert graph.levels(tables, edges) == [["authors", "books", "readers"], ["authors_books", "copies"], ["loans"], ["fines"]]
 
 
 def test_cycles():
@@ -66,9 +66,11 @@ def test_key_keeps_its_declared_order():
 
 def test_type_equality():
     same = lambda w, h, src="mysql", dst="postgres": schema_diff.same_type(w, h, src, dst)
-    assert same(Column("a", "x", mapped="VARCHAR(10)", length=10), Column("a", "character varying(10)", length=10))
+    assert same(Column("a", "x", mapped="VARCHAR(10)", length=10), Column("a", "character varying", length=10))
     assert not same(Column("a", "x", mapped="VARCHAR(10)", length=10), Column("a", "character varying(20)", length=20))
     assert same(Column("a", "x", mapped="BOOLEAN"), Column("a", "tinyint(1)", length=1), "postgres", "mysql")
+    assert same(Column("a", "x", mapped="CHAR(36)"), Column("a", "char(36)", length=36), "postgres", "mysql")
+    assert same(Column("a", "x", mapped="INTEGER", length=11), Column("a", "integer")) and same(Column("a", "x", mapped="TEXT", length=65535), Column("a", "text"))
     assert same(Column("a", "x", mapped="DATETIME"), Column("a", "timestamp", precision=0), "postgres", "mysql")
     assert not same(Column("a", "x", mapped="NUMERIC", precision=10, scale=2), Column("a", "decimal", precision=10, scale=3))
 
