@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,10 +53,25 @@ def coerce(df: DataFrame, types: dict[str, str], dialect: str) -> DataFrame:
     return df.select(*[_coerced(df, c, types[c], dialect).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns])
 
 
+def _loses(df: DataFrame, types: dict[str, str], dialect: str) -> list[Column]:
+    """For each column that may lose a value, whether a row does. Only text can be unfit for a boolean; numbers always have an answer."""
+    out = []
+    for c in df.columns:
+        if c in types and dialect == "postgres" and normalize(types[c]) == "bool" and not isinstance(df.schema[c].dataType, (T.BooleanType, T.NumericType)):
+            out.append(F.col(f"`{c}`").isNotNull() & _coerced(df, c, types[c], dialect).isNull())
+    return out
+
+
+def may_lose(df: DataFrame, types: dict[str, str], dialect: str) -> bool:
+    """Whether `coerce` can lose a value at all, by the types."""
+    return bool(_loses(df, types, dialect))
+
+
 def unfit(df: DataFrame, types: dict[str, str], dialect: str) -> DataFrame:
     """The rows that lose a value in `coerce`: a value that was not null becomes null."""
-    lost = F.lit(False)
-    for c in df.columns:
-        if c in types:
-            lost = lost | (F.col(f"`{c}`").isNotNull() & _coerced(df, c, types[c], dialect).isNull())
-    return df.where(lost)
+    return df.where(reduce(Column.__or__, _loses(df, types, dialect), F.lit(False)))
+
+
+def fit(df: DataFrame, types: dict[str, str], dialect: str) -> DataFrame:
+    """The other rows."""
+    return df.where(~reduce(Column.__or__, _loses(df, types, dialect), F.lit(False)))

@@ -89,6 +89,8 @@ class Result:
     skipped: str | None = None
     rows: int = 0
     batches: int = 0
+    #: Rows with a value that the destination's type can't hold.
+    unfit: int = 0
     seconds: float = 0.0
     statements: list[str] = field(default_factory=list)
 

@@ -1,12 +1,21 @@
+import http.server
+import io
+import json
+import logging
 import sqlite3
+import threading
+import time
+import urllib.error
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparkferry.plans import runner
-from sparkferry.plans.config import Config
+from sparkferry.plans import log, runner, serve
+from sparkferry.plans.config import Config, vault
+from sparkferry.plans.model import Column, Table
 from sparkferry.sources.sqlite_catalog import index_columns
-from sparkferry.sources.stores import JdbcStore, ParquetStore, SqliteStore, with_retries
+from sparkferry.sources.stores import JdbcStore, ParquetStore, SqliteStore, open_store, switched_off, upsert_sql, with_retries
 from sparkferry.streaming.upserts import merge_stream
 
 
@@ -129,3 +138,201 @@ def test_stream_of_changes(spark, tmp_path):
         merge_stream(stream, store, "t", ["k"], [F.col("at")], str(tmp_path / "check")).awaitTermination()
         assert sorted((r.k, r.v) for r in store.read("t").collect()) == [(1, "b"), (2, "c")]
         spark.createDataFrame([(2, 5, "d"), (1, 2, "b")], "k int, at int, v string").limit(0).write.mode("append").parquet(folder)
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    store = ParquetStore(spark, str(tmp_path / "out"))
+    for n in (3, 4):
+        store.write("t", spark.range(n))
+    folder = tmp_path / "out" / "t.parquet"
+    spark.range(9).write.parquet(str(folder / "v000000000003-broken"))  # a writer died before its marker
+    assert store.read("t").count() == 4
+    store.write("t", spark.range(6))
+    assert store.read("t").count() == 6
+    store.vacuum("t")
+    assert len([x for x in folder.iterdir() if x.is_dir()]) == 1 and store.read("t").count() == 6
+    spark.range(9).write.parquet(str(tmp_path / "out" / "u.parquet" / "v000000000001-broken"))
+    assert store.tables() == ["t"] and store.describe("u") is None
+
+
+@pytest.fixture
+def copy(tmp_path):
+    path = str(tmp_path / "copy.db")
+    sqlite3.connect(path).close()
+    return path
+
+
+def all_rows(path, sql):
+    with sqlite3.connect(path) as c:
+        return c.execute(sql).fetchall()
+
+
+def test_database_to_database(spark, shop, copy):
+    source, destination = SqliteStore(spark, shop), SqliteStore(spark, copy)
+    config = Config(source="sqlite", destination="sqlite", retries=0, workers=1)
+    results = {r.table: r for r in runner.run(source, destination, config)}
+    assert {n: (r.status, r.rows) for n, r in results.items()} == {"users": ("ok", 3), "orders": ("ok", 3), "empty": ("ok", 0), "fixed": ("ok", 1)}, results
+    for table in ("id, line, user_id, note, total from orders", "id, name, live, pic from users", "* from fixed"):
+        assert sorted(all_rows(copy, f"select {table}"), key=repr) == sorted(all_rows(shop, f"select {table}"), key=repr)
+    made = destination.describe("orders")
+    assert made.key == ["line", "id"] and {c.kind for c in made.constraints} >= {"CHECK", "FOREIGN KEY", "PRIMARY KEY"} and [i.name for i in made.indexes if not i.primary] == ["ix_note"]
+    with sqlite3.connect(shop) as c:  # a new column, a changed row, a row that goes, a new row
+        c.execute("alter table users add column city text default 'none'")
+        c.execute("update users set name = 'Anna', city = 'Rome' where id = 1")
+        c.execute("delete from users where id = 2")
+        c.execute("insert into users (id, name) values (7, 'Di')")
+    for _ in range(2):
+        again = runner.run(source, destination, config.with_(strategy="alter"), ["users"])[0]
+        assert again.status == "ok" and again.rows == 3, again
+        assert all_rows(copy, "select id, name, city from users order by id") == [(1, "Anna", "Rome"), (2, "Bob", "none"), (3, "Cy", "none"), (7, "Di", "none")]
+    fresh = {r.table: r.status for r in runner.run(source, destination, config)}
+    assert set(fresh.values()) == {"ok"} and len(all_rows(copy, "select * from users")) == 3
+
+
+def test_a_failed_write_leaves_the_table(spark, copy):
+    with sqlite3.connect(copy) as c:
+        c.execute("create table t (k integer primary key, v text not null)")
+        c.execute("insert into t values (1, 'old')")
+    store = SqliteStore(spark, copy)
+    with pytest.raises(sqlite3.IntegrityError):
+        store.save("t", spark.createDataFrame([(1, "new"), (2, None)], "k long, v string"), ["k"], store.describe("t"))
+    assert all_rows(copy, "select * from t") == [(1, "old")]
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(500)], "k long, v string").repartition(3)
+    assert store.save("t", rows, ["k"], store.describe("t")) == 500 and all_rows(copy, "select count(*), min(v) from t") == [(500, "v0")]
+
+
+def test_jdbc_upsert_with_the_bundled_database(spark, tmp_path):
+    store = JdbcStore(spark, f"jdbc:derby:{tmp_path}/up;create=true", "derby", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, partitions=2)
+    with store.session() as run:
+        run('create table "t" ("k" bigint primary key, "v" varchar(20), "kept" int default 5)')
+        run("""insert into "t" values (1, 'old', 9), (2, 'two', 9)""")
+    t = Table("t", "derby", (Column("k", "bigint", False, True),))
+    assert store.save("t", spark.createDataFrame([(1, "new"), (3, "three")], "k long, v string"), ["k"], t) == 2
+    got = lambda: sorted(map(tuple, store.read("t").collect()))
+    assert got() == [(1, "new", 9), (2, "two", 9), (3, "three", 5)]
+    assert store.save("t", spark.createDataFrame([(3,), (4,)], "k long"), ["k"], t) == 2 and got()[2:] == [(3, "three", 5), (4, None, 5)]
+    assert store.save("t", spark.createDataFrame([(8, "x")], "k long, v string"), ["k"], t, replace=True) == 1 and got() == [(8, "x", 5)]
+    with pytest.raises(Exception):
+        store.save("t", spark.createDataFrame([(9, "y"), (9, "z")], "k long, v string"), [], t)
+    assert got() == [(8, "x", 5)] and not [n for n in store.tables() if "stage" in n]
+
+
+def test_upsert_statements():
+    assert upsert_sql("t", "s", ["a", "b"], ["a"], "mysql") == "INSERT INTO `t` (`a`, `b`) SELECT `a`, `b` FROM `s` ON DUPLICATE KEY UPDATE `b` = VALUES(`b`)"
+    assert upsert_sql("t", "s", ["a"], ["a"], "mysql") == "INSERT IGNORE INTO `t` (`a`) SELECT `a` FROM `s`"
+    assert upsert_sql("t", "s", ["a", "b"], ["a"], "postgres") == 'INSERT INTO "t" ("a", "b") SELECT "a", "b" FROM "s" WHERE true ON CONFLICT ("a") DO UPDATE SET "b" = EXCLUDED."b"'
+    assert upsert_sql("t", "s", ["a"], ["a"], "postgres").endswith('ON CONFLICT ("a") DO NOTHING') and upsert_sql("t", "s", ["a"], [], "postgres") == 'INSERT INTO "t" ("a") SELECT "a" FROM "s"'
+
+
+@pytest.mark.parametrize("dialect,before,steps", [("mysql", "1", ["SET SESSION foreign_key_checks = 0", "in", "SET SESSION foreign_key_checks = 1"]), ("postgres", None, ["SET session_replication_role = replica", "in", "SET session_replication_role = origin"]), ("derby", None, ["in"])])
+def test_foreign_keys_are_off_and_on_again(dialect, before, steps):
+    said = []
+    with pytest.raises(KeyError), switched_off(lambda _: before, said.append, dialect):
+        said.append("in")
+        raise KeyError
+    assert said == steps
+
+
+def test_unfit_rows(spark, tmp_path):
+    path = str(tmp_path / "odd.db")
+    with sqlite3.connect(path) as c:
+        c.execute("create table flags (k integer primary key, f text)")
+        c.executemany("insert into flags values (?, ?)", [(1, "yes"), (2, "maybe"), (3, None), (4, "\toff\n")])
+    source, config = SqliteStore(spark, path), Config(source="sqlite", destination="postgres", retries=0, validate=False)
+    spec = source.describe("flags")
+    types = runner.TypeMap({("sqlite", "postgres"): [(("text",), "BOOLEAN", "ignore_source"), (("integer",), "BIGINT", "ignore_source")]}, {}, {})
+
+    def sync(how):
+        store = ParquetStore(spark, str(tmp_path / how))
+        out, _ = runner.sync_table(source, store, spec, config.with_(unfit=how), types=types)
+        return out, {n: sorted(map(tuple, store.read(n).collect()), key=repr) for n in store.tables()}
+
+    out, tables = sync("fail")
+    assert out.status == "failed" and "1 rows of flags" in out.data_error and out.unfit == 1 and tables == {}
+    out, tables = sync("quarantine")
+    assert (out.status, out.rows, out.unfit) == ("ok", 3, 1) and tables == {"flags": [(1, True), (3, None), (4, False)], "flags__unfit": [(2, "maybe")]}
+    out, tables = sync("null")
+    assert out.rows == 4 and tables["flags"][1] == (2, None)
+
+
+def test_cancellation(spark, shop, tmp_path):
+    stop, destination = threading.Event(), ParquetStore(spark, str(tmp_path / "out"))
+    stop.set()
+    results = runner.run(SqliteStore(spark, shop), destination, Config(source="sqlite", destination="postgres"), stop=stop)
+    assert {r.status for r in results} == {"failed"} and all(r.skipped == "cancelled before it began" for r in results) and runner.exit_code(results) == 1
+
+    class Slow(ParquetStore):
+        def save(self, name, rows, *rest, **more):
+            seen.append(True)
+            return super().save(name, rows.withColumn("__slow", F.expr("reflect('java.lang.Thread', 'sleep', 20000L)")), *rest, **more)
+
+    stop, seen, began = threading.Event(), [], time.monotonic()
+    threading.Timer(1.0, stop.set).start()
+    out = runner.run(SqliteStore(spark, shop), Slow(spark, str(tmp_path / "slow")), Config(source="sqlite", destination="postgres", retries=0), ["fixed"], stop=stop)[0]
+    assert "cancelled" in (out.data_error or out.schema_error) and time.monotonic() - began < 15
+    out = runner.run(SqliteStore(spark, shop), Slow(spark, str(tmp_path / "late")), Config(source="sqlite", destination="postgres", retries=0, table_timeout=3), ["fixed"])[0]
+    assert "more than 3 s" in (out.data_error or out.schema_error)
+
+
+def test_log_lines_hold_no_secrets():
+    out = io.StringIO()
+    top = logging.getLogger("sparkferry")
+    before = top.handlers[:], top.level, top.propagate
+    try:
+        log.configure(as_json=True, words=("hunter2",), stream=out)
+        log.logger("run").info("jdbc:mysql://h/d?user=u&password=abc;x postgres://bob:pw@h/d said hunter2", extra={"table": "t", "token": "zzz", "rows": 3})
+        log.configure(stream=out)
+        log.logger("run").info("plain", extra={"table": "t"})
+    finally:
+        top.handlers[:], top.propagate = before[0], before[2]
+        top.setLevel(before[1])
+    first, second = out.getvalue().splitlines()
+    row = json.loads(first)
+    assert row["level"] == "INFO" and row["rows"] == 3 and row["token"] == "***" and "u&password=***" in row["msg"] and "bob:***@h" in row["msg"]
+    assert not any(x in first for x in ("abc", "pw@", "hunter2", "zzz")) and second.endswith("sparkferry.run plain table=t")
+
+
+def test_http():
+    ready = [False]
+    server = serve.serve(0, lambda: "sparkferry_run_seconds 1\n", lambda: ready[0], "127.0.0.1")
+    ask = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{path}", timeout=5).read().decode()
+    assert ask("/metrics") == "sparkferry_run_seconds 1\n" and ask("/healthz") == "ok"
+    for path, status in (("/readyz", 503), ("/nothing", 404)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            ask(path)
+        assert e.value.code == status
+    ready[0] = True
+    assert ask("/readyz") == "ok"
+    server.shutdown()
+
+
+def test_vault():
+    class Vault(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            found = {"/v1/secret/data/db/src": {"data": {"data": {"username": "u", "password": "p"}}}, "/v1/secret/data/bare": {"data": {"data": {"pass": "q"}}}}.get(self.path)
+            status = 403 if self.headers["X-Vault-Token"] != "t0k" else 200 if found else 404
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps(found).encode() if status == 200 else b"{}")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Vault)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at, paths = f"http://127.0.0.1:{server.server_port}/", {"SRC": "/db/src", "DST": "gone", "BARE": "bare"}
+    look = vault(at, "t0k", paths)
+    assert look("SRC") == ("u", "p") and look("OTHER") is None and vault(at, "t0k", paths, password_key="pass")("BARE") == ("", "q")
+    for label, said in (("DST", "is not there"), ("BARE", "has no text")):
+        with pytest.raises(ValueError, match=said):
+            look(label)
+    with pytest.raises(ValueError, match="status 403") as e:
+        vault(at, "wrong", paths)("SRC")
+    assert "wrong" not in str(e.value)
+    server.shutdown()
+
+
+def test_open_store(spark, shop, tmp_path):
+    assert open_store(spark, "sqlite", shop).ping() and open_store(spark, "parquet", str(tmp_path)).tables() == []
+    jdbc = open_store(spark, "postgres", "jdbc:postgresql://h/d", "u", "p", pool=4)
+    assert jdbc.partitions == 4 and jdbc.options == {"user": "u", "password": "p", "stringtype": "unspecified"}
