@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -34,9 +34,15 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return plain.select(*[plain[f"c{have.index(v)}"].alias(k) for k, v in names.items()])
 
 
-def carried(df: DataFrame, column: str, keep: tuple[str, ...]) -> tuple[DataFrame, list[T.StructField], list[Column]]:
+def carried(df: DataFrame, column: str, keep: tuple[str, ...], made: Iterable[str] = ()) -> tuple[DataFrame, list[T.StructField], list[Column]]:
     """What an operator on one column maps over: rows with that column as `in__` and the kept ones, the fields that its results
-    begin with, and columns that give the kept ones their names back. A kept column that is the operator's own goes once."""
+    begin with, and columns that give the kept ones their names back. A kept column that is the operator's own goes once.
+
+    made: the names of the operator's results. A kept column of such a name, also by case, or one kept twice, raises ValueError.
+    """
+    low = [k.lower() for k in keep]
+    if clash := sorted({k for k in low if low.count(k) > 1} | set(low) & {m.lower() for m in made}):
+        raise ValueError(f"kept columns clash with results or each other: {clash}")
     names = {k: "in__" if k == column else f"k{i}" for i, k in enumerate(keep)}
     rows = pick(df, in__=column, **{v: k for k, v in names.items() if v != "in__"})
     return rows, [rows.schema[v] for v in names.values()], [F.col(v).alias(k) for k, v in names.items()]

@@ -5,11 +5,15 @@ Template: a block `### role: text</turn>` and a line break for each run of turns
 backslash becomes `\\s`, `###` `\\h`, `</turn>` `\\e`, `<part/>` `\\p`, and in roles `:` `\\c`. As each backslash that is
 left begins an escape, undoing them is exact.
 
-A conversation becomes one row, so its turns meet in one task: that is the output's own size. All steps on them are linear.
+A conversation becomes one row, so its turns meet in one task: that is the output's own size. But for the sort, all steps on them are
+linear: what a lambda needs more than once is bound to a variable (`let`), turns are reached by their place, and spans count from
+the start of their own part, so that no step reads a whole conversation or block again for each turn.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,53 +37,60 @@ def unescape(text: Column, pairs=ESCAPES) -> Column:
     return text
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often `use` names it, also within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant") -> DataFrame:
-    """A row for each conversation: the conversation's id, formatted string, and loss array<struct<block, start, end>>.
+    """A row for each conversation: the conversation's id, formatted string, and loss array<struct<block, part, start, end>>.
 
     Turns are in the order of turn, then role, then text (nulls first); a null text or role is empty; rows without an id
     are one conversation of id null; repeated rows stay. Adjacent turns of one role share a block.
-    loss: the spans, in code points from the start of their block (blocks end with `</turn>` and a line break), of each
-    text of the role `learn`, in order.
+    loss: the spans of each text of the role `learn`, in order. Blocks end with `</turn>` and a line break, `<part/>` parts them, and
+    start and end are code points from the start of that part (a block's first part begins with `### role: `).
     """
     rows = pick(df, conv=conv, turn=turn, role=role, text=text)
     rows = rows.select("conv", F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).alias("t"))
     turns = rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]))
-    runs = F.transform(
-        F.col("starts"),
-        lambda s, k: F.struct(
-            F.get("turns", s)["role"].alias("role"),
-            F.concat(F.lit("### "), escape(F.get("turns", s)["role"], ROLE_ESCAPES), F.lit(": ")).alias("head"),
-            F.transform(F.slice("turns", s + 1, F.coalesce(F.get("starts", k + 1), F.size("turns")) - s), lambda t: escape(t["text"])).alias("parts"),
-        ),
-    )
-    block = lambda r: F.concat(r["head"], F.array_join(r["parts"], PART), F.lit(END))
-
-    def spans(r, k):
-        none = F.array().cast("array<struct<block:int,start:int,end:int>>")
-        put = lambda got, p: F.struct((got["at"] + F.length(p) + len(PART)).alias("at"), F.concat(got["out"], F.array(F.struct(k.alias("block"), got["at"].alias("start"), (got["at"] + F.length(p)).alias("end")))).alias("out"))
-        return F.when(r["role"] == learn, F.aggregate(r["parts"], F.struct(F.length(r["head"]).alias("at"), none.alias("out")), put)["out"]).otherwise(none)
-
-    out = turns.withColumn("starts", starts).select("conv", runs.alias("runs"))
-    return out.select(F.col("conv").alias(conv), F.array_join(F.transform("runs", block), "").alias("formatted"), F.flatten(F.transform("runs", spans)).alias("loss"))
+    turn_at = lambda i: F.get("turns", i)
+    starts = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (turn_at(i)["role"] != turn_at(i - 1)["role"]))
+
+    def run(first: Column, behind: Column) -> Column:
+        return F.struct(
+            turn_at(first)["role"].alias("role"),
+            F.concat(F.lit("### "), escape(turn_at(first)["role"], ROLE_ESCAPES), F.lit(": ")).alias("head"),
+            F.transform(F.sequence(first, behind - 1), lambda i: escape(turn_at(i)["text"])).alias("parts"),
+        )
+
+    runs = let(starts, lambda at: F.transform(at, lambda first, k: run(first, F.coalesce(F.get(at, k + 1), F.size("turns")))))
+
+    def block(r: Column) -> Column:
+        return F.concat(r["head"], F.array_join(r["parts"], PART), F.lit(END))
+
+    def spans(r: Column, k: Column) -> Column:
+        begin = lambda p: F.when(p == 0, F.length(r["head"])).otherwise(F.lit(0))
+        span = lambda text, p: F.struct(k.alias("block"), p.alias("part"), begin(p).alias("start"), (begin(p) + F.length(text)).alias("end"))
+        return F.when(r["role"] == learn, F.transform(r["parts"], span)).otherwise(F.array().cast("array<struct<block:int,part:int,start:int,end:int>>"))
+
+    both = let(runs, lambda x: F.struct(F.array_join(F.transform(x, block), "").alias("formatted"), F.flatten(F.transform(x, spans)).alias("loss")))
+    return turns.select("conv", both.alias("made")).select(F.col("conv").alias(conv), "made.formatted", "made.loss")
 
 
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted string: array<struct<role, text>>."""
     blocks = F.filter(F.split(formatted, END, -1), lambda b: b != "")
-    head = lambda b: F.regexp_extract(b, "^### ([^:]*): ", 1)
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.split(F.substr(b, F.length(head(b)) + 7), F.lit(PART), -1),
-                lambda p: F.struct(unescape(head(b), ROLE_ESCAPES).alias("role"), unescape(p).alias("text")),
-            ),
-        )
-    )
+
+    def turns(b: Column) -> Column:
+        role = F.regexp_extract(b, "^### ([^:]*): ", 1)
+        parts = let(role, lambda r: F.struct(unescape(r, ROLE_ESCAPES).alias("role"), F.split(F.substr(b, F.length(r) + 7), F.lit(PART), -1).alias("texts")))
+        return let(parts, lambda x: F.transform(x["texts"], lambda p: F.struct(x["role"].alias("role"), unescape(p).alias("text"))))
+
+    return F.flatten(F.transform(blocks, turns))
 
 
 def under_loss(formatted: Column, loss: Column) -> Column:
     """The unescaped texts that the loss spans cover, in order: array<string>."""
-    blocks = F.split(formatted, END, -1)
-    return F.transform(loss, lambda s: unescape(F.substr(F.get(blocks, s["block"]), s["start"] + 1, s["end"] - s["start"])))
+    blocks = F.transform(F.split(formatted, END, -1), lambda b: F.split(b, F.lit(PART), -1))
+    cover = lambda x: F.transform(x["loss"], lambda s: unescape(F.substr(F.get(F.get(x["blocks"], s["block"]), s["part"]), s["start"] + 1, s["end"] - s["start"])))
+    return let(F.struct(blocks.alias("blocks"), loss.alias("loss")), cover)

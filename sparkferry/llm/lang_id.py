@@ -159,16 +159,17 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 2400, landmarks: int = 120) -> Model | None:
+def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 2400, landmarks: int = 120, max_languages: int = 256) -> Model | None:
     """A model learned from at most about `max_rows` rows of those that aren't held out and have a text, a language and a key.
 
     Each language gives an equal share: the rows whose key's hash is below the fraction that its count calls for, so the
-    choice is the same however the table is partitioned. None where no row may be learned from.
+    choice is the same however the table is partitioned. Of more than `max_languages` languages the most frequent are learned (ties by
+    name). None where no row may be learned from.
     """
     ship(df.sparkSession)
     rows = pick(df, key=key, lang=lang, text=text)
     fit_for = rows.where(F.col("key").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("key")))
-    counts = {r.lang: r.n for r in fit_for.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # this scan leaves the texts alone
+    counts = {r.lang: r.n for r in fit_for.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}  # this scan leaves the texts alone
     if not counts:
         return None
     share = max(1, max_rows // len(counts))
@@ -203,7 +204,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple
     language by name; repeated rows stay; an empty table gives an empty one; other columns may have any name.
     """
     ship(df.sparkSession)
-    rows, kept, back = carried(df, text, keep)
+    rows, kept, back = carried(df, text, keep, (f"{prefix}lang_pred", f"{prefix}score"))
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

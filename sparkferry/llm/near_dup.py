@@ -5,9 +5,9 @@ shingle is a Poisson process whose rate is its weight, with times and registers
 arrival; an element stops as soon as its next arrival is after the last register's. The share of equal registers estimates the
 probability Jaccard similarity J, which for weights of 1 is the Jaccard similarity of the shingle sets.
 
-Two measures can be asked for. `overlap` (the default) is 2 J / (1 + J): the share of both texts' shingle weight that they have
+Two measures can be asked for. `dice` (the default) is 2 J / (1 + J): the share of both texts' shingle weight that they have
 in common, for sets Dice's coefficient. `jaccard` is J itself. One is a function of the other, so bands and verification work on
-J in either case; an overlap of 0.8 is a J of 2 / 3.
+J in either case; a `dice` of 0.8 is a J of 2 / 3.
 
 Texts with the same counted shingles are one class. Classes that agree in all registers of a band share a bucket. Buckets'
 candidates are verified by their exact similarity, in three turns, so that a bucket's pairs are never all listed:
@@ -36,7 +36,7 @@ from sparkferry.llm._words import folded, mix, words
 from sparkferry.llm.components import components, join_hubs
 
 WORDS, SIMILAR = 5, 0.8
-#: Registers of a band, and bands: a pair of overlap 0.8 shares none of them with probability 1.5e-4, one of Jaccard similarity 0.8 with 6e-10.
+#: Registers of a band, and bands: a pair of Dice similarity 0.8 shares none of them with probability 1.5e-4, one of Jaccard similarity 0.8 with 6e-10.
 BAND, BANDS = 4, 40
 REGISTERS = BAND * BANDS
 #: Buckets up to this size list all their pairs, which is linear in the table; blocks of larger ones have about so many classes.
@@ -48,9 +48,9 @@ _PLACES = np.arange(1, 2 * WORDS, 2, dtype=np.uint64) * _ODD
 
 def least_jaccard(similar: float, measure: str) -> float:
     """The probability Jaccard similarity at which a measure reaches `similar`."""
-    if measure not in ("overlap", "jaccard"):
+    if measure not in ("dice", "jaccard"):
         raise ValueError(f"unknown measure {measure!r}")
-    return similar / (2 - similar) if measure == "overlap" else similar
+    return similar / (2 - similar) if measure == "dice" else similar
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -322,7 +322,7 @@ def _groups(h: DataFrame, least: float, counted: bool) -> DataFrame:
     return join_hubs(of_class, best, "root", total).select("key", F.col("copies").alias("n"), F.col("id").alias("class_id"), F.col("best.id").alias("component_id"), F.col("best.node").alias("keeper"))
 
 
-def grouped(df: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR, counted: bool = True, measure: str = "overlap") -> DataFrame:
+def grouped(df: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR, counted: bool = True, measure: str = "dice") -> DataFrame:
     """A row for each row: the key, class_id (the smallest key of the rows with the same counted shingles), component_id (the
     smallest key that links of at least `similar` lead to), n_class (rows of its class) and kept (true for one row of each
     component: the one of the smallest key).
@@ -330,7 +330,7 @@ def grouped(df: DataFrame, text: str = "text", key: str = "doc_id", similar: flo
     Words are runs of letters, digits and underscores, in lower case; punctuation and blanks of all alphabets part them. Texts
     without a word are alike if they are equal. Null and empty texts link with nothing: each is kept, its ids are its
     own key. Null keys come after others, and repeated rows are copies of each other; an empty table gives an empty one;
-    other columns may have any name. counted: shingles weigh their count, else 1. measure: `overlap` or `jaccard`.
+    other columns may have any name. counted: shingles weigh their count, else 1. measure: `dice` or `jaccard`.
     """
     ship(df.sparkSession)
     h = Held(_signed(pick(df, id=key, text__=text), counted)).df
@@ -341,7 +341,7 @@ def grouped(df: DataFrame, text: str = "text", key: str = "doc_id", similar: flo
     return alike.unionByName(alone)
 
 
-def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR, counted: bool = True, measure: str = "overlap") -> DataFrame:
+def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR, counted: bool = True, measure: str = "dice") -> DataFrame:
     """The rows of df that `grouped` would keep, with all columns. Rows that nothing is like are not shuffled."""
     ship(df.sparkSession)
     names = {f"k{i}": c for i, c in enumerate(df.columns)}

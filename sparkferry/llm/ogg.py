@@ -3,7 +3,11 @@
 A text's UTF-8 bytes, filled with spaces up to a positive multiple of 192, are the samples of an uncompressed mono
 stream; a second logical stream, interleaved with it, holds the unpadded length. Reading verifies each page's checksum and
 sequence number, reassembles packets from the lacing values, demultiplexes the streams by serial number, and derives
-timestamps from the granule positions. A row is read and written by itself: nothing is shuffled.
+the time of each packet of each stream from the granule positions. A row is read and written by itself: nothing is shuffled.
+
+A page's granule position is the time at the end of the last packet that ends on it, and may never fall within a stream. Samples
+tell how long each audio packet lasts, so packets before a page's last get their times by counting, which must meet the
+page's position. A cue has no duration: it is at the position of its page.
 """
 
 from __future__ import annotations
@@ -115,10 +119,11 @@ def read_pages(data: bytes) -> Iterator[tuple[int, int, int, bytes, bytes]]:
         at = end
 
 
-def read_streams(data: bytes) -> tuple[dict[int, list[tuple[bytes, int]]], int]:
-    """Packets by serial number, each with the granule position of the page that it ended on, and the number of pages."""
-    packets: dict[int, list[tuple[bytes, int]]] = {}
+def read_streams(data: bytes) -> tuple[dict[int, list[tuple[bytes, int | None]]], int]:
+    """Packets by serial number, and the number of pages. The last packet that ends on a page has the page's granule position, the others None."""
+    packets: dict[int, list[tuple[bytes, int | None]]] = {}
     rest: dict[int, list[bytes]] = {}
+    latest: dict[int, int] = {}
     ended: set[int] = set()
     count = 0
     for serial, flags, granule, lacing, body in read_pages(data):
@@ -128,18 +133,23 @@ def read_streams(data: bytes) -> tuple[dict[int, list[tuple[bytes, int]]], int]:
         out, open_ = packets.setdefault(serial, []), rest.setdefault(serial, [])
         if bool(flags & CONTINUED) != bool(open_):
             raise Damaged("a continued packet lacks a part")
-        at, size, done = 0, 0, False
+        at, size, done = 0, 0, len(out)
         for n in lacing:
             size += n
             if n < 255:
                 open_.append(body[at : at + size])
-                out.append((b"".join(open_), granule))
+                out.append((b"".join(open_), None))
                 open_.clear()
-                at, size, done = at + size, 0, True
+                at, size = at + size, 0
         if size:
             open_.append(body[at : at + size])
-        if (granule == NONE) == done:
+        if (granule == NONE) == (len(out) > done):
             raise Damaged("a granule position without the end of a packet, or an end without it")
+        if granule != NONE:
+            if granule < latest.get(serial, 0):
+                raise Damaged("granule positions fall")
+            latest[serial] = granule
+            out[-1] = (out[-1][0], granule)
         if flags & LAST:
             ended.add(serial)
     if ended != set(packets) or any(rest.values()):
@@ -147,8 +157,28 @@ def read_streams(data: bytes) -> tuple[dict[int, list[tuple[bytes, int]]], int]:
     return packets, count
 
 
+def audio_times(packets: list[tuple[bytes, int | None]], rate: int) -> list[int]:
+    """The microsecond at which each packet of samples ends: counted, and held against each granule position."""
+    out, position = [], 0
+    for samples, granule in packets:
+        position += len(samples)
+        if granule is not None and granule != position:
+            raise Damaged("granule positions and samples differ")
+        out.append(position * 1_000_000 // rate)
+    return out
+
+
+def cue_times(packets: list[tuple[bytes, int | None]], rate: int) -> list[int]:
+    """The microsecond of each cue: its page's granule position, which is the next that is given."""
+    out, position = [], 0
+    for _, granule in reversed(packets):
+        position = granule if granule is not None else position
+        out.append(position * 1_000_000 // rate)
+    return out[::-1]
+
+
 def read_ogg(data: bytes) -> dict:
-    """Payload, unpadded length and features of a container. Raises Damaged."""
+    """Payload, unpadded length, times and features of a container. Raises Damaged."""
     streams, pages = read_streams(data)
     audio = next((p for p in streams.values() if p and p[0][0][:8] == PCM_MAGIC), None)
     cue = next((p for p in streams.values() if len(p) == 2 and p[0][0] == CUE_MAGIC and len(p[1][0]) == 8), None)
@@ -159,21 +189,21 @@ def read_ogg(data: bytes) -> dict:
         raise Damaged("samples of another format")
     payload = b"".join(p for p, _ in audio[1:])
     n = struct.unpack("<Q", cue[1][0])[0]
-    end = max((g for _, g in audio[1:]), default=0)
-    if end != len(payload) or n > len(payload):
+    audio_us, cue_us = audio_times(audio[1:], rate), cue_times(cue[1:], rate)
+    if audio[0][1] or cue[0][1] or audio[-1][1] != len(payload) or n > len(payload):
         raise Damaged("granule positions and samples differ")
-    samples = np.frombuffer(payload, np.uint8)
+    samples, end_us = np.frombuffer(payload, np.uint8), audio_us[-1] if audio_us else 0
     # 16 bits for each sum: integers only, so that equal samples make equal strings everywhere.
     mean, crossings = int(samples.sum(dtype=np.int64)) * 1000 // max(1, len(samples)), int(np.count_nonzero((samples[1:] >= 96) != (samples[:-1] >= 96)))
-    feature = f"pages={pages} streams={len(streams)} packets={len(audio) - 1} end_us={end * 1_000_000 // rate} mean_milli={mean} peak={int(samples.max(initial=0))} crossings={crossings}"
-    return {"payload": payload, "n_bytes": n, "pages": pages, "packets": len(audio) - 1, "end_us": end * 1_000_000 // rate, "feature": feature}
+    feature = f"pages={pages} streams={len(streams)} packets={len(audio) - 1} end_us={end_us} cue_us={cue_us[0]} mean_milli={mean} peak={int(samples.max(initial=0))} crossings={crossings}"
+    return {"payload": payload, "n_bytes": n, "pages": pages, "packets": len(audio) - 1, "end_us": end_us, "audio_us": audio_us, "cue_us": cue_us, "feature": feature}
 
 
 def to_media(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Each row's kept columns with media, its text's container. A null text is empty (192 spaces); repeated rows stay; an
     empty table gives an empty one; other columns may have any name."""
     ship(df.sparkSession)
-    rows, kept, back = carried(df, text, keep)
+    rows, kept, back = carried(df, text, keep, ("media",))
     schema = T.StructType([*kept, T.StructField("media", T.BinaryType())])
 
     def run(batches):
@@ -185,15 +215,15 @@ def to_media(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     return rows.mapInArrow(run, schema).select(*back, "media")
 
 
-FIELDS = "payload binary, n_bytes long, pages int, packets int, end_us long, feature string, error string"
+FIELDS = "payload binary, n_bytes long, pages int, packets int, end_us long, audio_us array<long>, cue_us array<long>, feature string, error string"
 
 
 def read_media(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Each row's kept columns with payload (padded samples), n_bytes (unpadded), pages, packets, end_us (the last sample's
-    end), feature and error. A null or damaged container has an error and nulls elsewhere."""
+    end), audio_us and cue_us (the time of each packet, in microseconds), feature and error. A null or damaged container has an error and nulls elsewhere."""
     ship(df.sparkSession)
-    rows, kept, back = carried(df, media, keep)
     made = T._parse_datatype_string(FIELDS)
+    rows, kept, back = carried(df, media, keep, made.names)
     schema = T.StructType(kept + made.fields)
 
     def run(batches):
@@ -206,7 +236,7 @@ def read_media(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("do
                         got.append(read_ogg(x) | {"error": None} if x is not None else {"error": "no media"})
                     except Damaged as e:
                         got.append({"error": str(e)})
-                kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string()]
+                kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.string()]
                 new = [pa.array([g.get(f.name) for g in got], k) for f, k in zip(made.fields, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)) for f in kept] + new, schema.names)
 

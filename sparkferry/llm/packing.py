@@ -84,7 +84,7 @@ def piece_lengths(n: int, most: int = SEQUENCE) -> list[int]:
 def pack(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), tokenizer: str | None = None, end_id: int = 0, most: int = SEQUENCE) -> DataFrame:
     """A row for each piece: the kept columns, then piece_start (the document's ids before it), piece_length, ids
     (little-endian unsigned 32-bit), doc_tokens, sequence_id and bucket (the length; write with partitionBy("bucket") to
-    keep equal lengths together). Its offset in its sequence is 0.
+    keep equal lengths together, see `write_buckets`). Its offset in its sequence is 0.
 
     A document's ids are the tokenizer's, then `end_id`; so a null or empty text makes one piece of length 1. Repeated
     rows and equal ids each make their own pieces; an empty table gives an empty one; other columns may have any name.
@@ -95,8 +95,9 @@ def pack(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
         raise ValueError("the longest sequence must be a power of two")
     ship(df.sparkSession)
     path = tokenizer or default_tokenizer()
-    rows, kept, back = carried(df, text, keep)
-    schema = T.StructType(kept + T._parse_datatype_string(PIECES).fields)
+    made = T._parse_datatype_string(PIECES)
+    rows, kept, back = carried(df, text, keep, made.names)
+    schema = T.StructType(kept + made.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -114,9 +115,18 @@ def pack(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
                         ids.append(got[4 * at : 4 * (at + n)])
                         sequence.append((n.bit_length() - 1) << POWER_SHIFT | part << PARTITION_SHIFT | count)
                         at, count = at + n, count + 1
-                carried = [batch.column(batch.schema.get_field_index(f.name)).take(pa.array(row, pa.int64())) for f in kept]
-                made = [pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64()), pa.array(sequence, pa.int64()), pa.array(length, pa.int32())]
-                yield pa.RecordBatch.from_arrays(carried + made, schema.names)
+                held = [batch.column(batch.schema.get_field_index(f.name)).take(pa.array(row, pa.int64())) for f in kept]
+                new = [pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64()), pa.array(sequence, pa.int64()), pa.array(length, pa.int32())]
+                yield pa.RecordBatch.from_arrays(held + new, schema.names)
 
     out = rows.mapInArrow(run, schema)
     return out.select(*back, *schema.names[len(kept) :])
+
+
+def write_buckets(pieces: DataFrame, path: str, files: int = 8, mode: str = "errorifexists") -> None:
+    """Writes pieces with a folder for each length (`bucket=1024`, ...), so that a batch of one length is read from one place.
+
+    A bucket is dealt over so many files by its sequences' hash: however many of the pieces are of one length, no task gets more than
+    that share of them, and a bucket has a bounded number of files.
+    """
+    pieces.repartition(files * SEQUENCE.bit_length(), "bucket", F.pmod(F.xxhash64("sequence_id"), F.lit(files))).write.mode(mode).partitionBy("bucket").parquet(path)

@@ -77,7 +77,7 @@ def op2_packing(spark, sf_dir):
     from sparkferry.llm.packing import pack
 
     out = pack(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("piece_start").alias("start"), F.col("piece_length").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
+    return out.select("doc_id", F.col("piece_start").alias("start"), F.col("piece_length").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), "bucket")
 
 
 @register("op3_tree_bpe")

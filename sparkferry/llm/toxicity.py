@@ -260,7 +260,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
     any name. Only the text is looked at.
     """
     ship(df.sparkSession)
-    rows, kept, back = carried(df, text, keep)
+    rows, kept, back = carried(df, text, keep, (f"{prefix}score", f"{prefix}predicted"))
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,8 @@ stretch alone makes the same merges. Backward: take the first merge across a bou
 neighbouring pair went as it goes alone, so that pair alone would make this merge too, and it wouldn't be [a, b].)
 
 So where L and R are encodings, and W is that of the bytes of L's last i and R's first j tokens, L[:-i] + W + R[j:] is the
-encoding if its neighbours at both ends of W fit. Where one doesn't, that side's window doubles, at most to all of L or R.
+encoding if its neighbours at both ends of W fit. Where one doesn't, that side's window doubles, at most to all of L or R. So every word,
+of any length, is halved and joined in the same way; a window is a leaf, whose bytes are merged from the start.
 The join is associative, empty is neutral, and the encoding of a text's part never depends on where it was cut.
 Results of words, halves and seams are remembered in a bounded table. Documents are mapped where they lie: no shuffle.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import functools
 import gc
+import heapq
 import struct
 from collections.abc import Iterator
 
@@ -33,6 +35,8 @@ from sparkferry.llm._split import Known, splitter
 
 #: Remembered results in a worker, of halves and windows, and of words; beyond that it forgets them all.
 CACHED, CACHED_WORDS = 100_000, 300_000
+#: Bytes beyond which a window's next pair is found by a heap.
+LONG_WINDOW = 256
 PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: Tokens whose bytes are joined directly, below which a decoding tree has no more branches.
 LEAF_TOKENS = 4096
@@ -54,7 +58,6 @@ class TreeBPE:
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.split = splitter(pattern)
-        self.longest = max(map(len, ranks), default=1)
         self.seams: dict[tuple[int, int], bool] = {}
         self.none = max(ranks.values(), default=0) + 1
         self.windows: dict[bytes, tuple[int, ...]] = {}
@@ -63,12 +66,15 @@ class TreeBPE:
         self.words = Known(self.word, CACHED_WORDS)
 
     def merge(self, data: bytes) -> tuple[int, ...]:
-        """The leaf step, for windows of a few tokens: the lowest-ranked neighbours merge, the leftmost first, until none can."""
+        """The leaf step, which re-encodes a window: the lowest-ranked neighbours merge, the leftmost first, until none can. Short windows look
+        through all their neighbours each time, which is quick; in longer ones a heap finds the next pair."""
         if (got := self.windows.get(data)) is not None:
             return got
         ranks = self.ranks
         if (whole := ranks.get(data)) is not None and len(data) <= 2:
             return (whole,)
+        if len(data) > LONG_WINDOW:
+            return self._merge_by_heap(data)
         rank_of, none = ranks.get, self.none
         parts = [data[i : i + 1] for i in range(len(data))]
         pairs = [rank_of(data[i : i + 2], none) for i in range(len(data) - 1)]
@@ -85,6 +91,29 @@ class TreeBPE:
         got = self.windows[data] = tuple([ranks[p] for p in parts])
         return got
 
+    def _merge_by_heap(self, data: bytes) -> tuple[int, ...]:
+        """`merge` in time n log n; such windows are not remembered. Places stay in order, so equal ranks come leftmost first."""
+        n, rank_of = len(data), self.ranks.get
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a token begins at its place; -1 in ends marks a place that is gone
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank_of(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, at, end = heapq.heappop(heap)
+            if (mid := ends[at]) == -1 or mid >= n or ends[mid] != end:
+                continue  # one of the two has changed since
+            ends[at], ends[mid] = end, -1
+            if end < n:
+                before[end] = at
+                if (r := rank_of(data[at : ends[end]])) is not None:
+                    heapq.heappush(heap, (r, at, ends[end]))
+            if (left := before[at]) >= 0 and (r := rank_of(data[left:end])) is not None:
+                heapq.heappush(heap, (r, left, end))
+        out, at = [], 0
+        while at < n:
+            out.append(self.ranks[data[at : ends[at]]])
+            at = ends[at]
+        return tuple(out)
+
     def fits(self, a: int, b: int) -> bool:
         """Whether two tokens are the encoding of their bytes."""
         key = (a, b)
@@ -102,27 +131,13 @@ class TreeBPE:
         while True:
             i, j = min(i, len(left)), min(j, len(right))
             data = b"".join([self.bytes_of[t] for t in left[len(left) - i :] + right[:j]])
-            # A window that is a long part of the whole is itself a tree's work; its halves meet at another seam.
-            mid = self.merge(data) if len(data) <= 4 * self.longest else self._grown(data)
+            mid = self.merge(data)
             low = i == len(left) or self.fits(left[-i - 1], mid[0])
             high = j == len(right) or self.fits(mid[-1], right[j])
             if low and high:
                 return left[: len(left) - i] + mid + right[j:]
             i, j = (i if low else 2 * i), (j if high else 2 * j)
 
-    def _grown(self, data: bytes) -> tuple[int, ...]:
-        """A long window's encoding, from left to right: each byte's token is joined to a stack, whose top is re-encoded as long as it doesn't fit."""
-        out: list[int] = []
-        for k in range(len(data)):
-            out.append(self.ranks[data[k : k + 1]])
-            n = 1
-            while len(out) > n and not self.fits(out[-n - 1], out[-n]):
-                take = b"".join(self.bytes_of[t] for t in out[-n - 1 :])
-                new = self.merge(take)
-                out[-n - 1 :] = new
-                n = len(new)
-        return tuple(out)
-
     def encode_bytes(self, data: bytes) -> tuple[int, ...]:
         n = len(data)
         if n <= 1:
@@ -159,15 +174,16 @@ def coder(path: str, pattern: str) -> TreeBPE:
 
 def _mapped(df: DataFrame, column: str, keep: tuple[str, ...], fields: str, work, path: str, pattern: str) -> DataFrame:
     ship(df.sparkSession)
-    rows, kept, back = carried(df, column, keep)
-    schema = T.StructType(kept + T._parse_datatype_string(fields).fields)
+    made = T._parse_datatype_string(fields)
+    rows, kept, back = carried(df, column, keep, made.names)
+    schema = T.StructType(kept + made.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
         for whole in batches:
             for batch in slices(whole, "in__") if pa.types.is_string(whole.schema.field("in__").type) or pa.types.is_large_string(whole.schema.field("in__").type) else [whole]:
-                made = work(bpe, batch.column("in__").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)) for f in kept] + made, schema.names)
+                new = work(bpe, batch.column("in__").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)) for f in kept] + new, schema.names)
 
     out = rows.mapInArrow(run, schema)
     return out.select(*back, *schema.names[len(kept) :])

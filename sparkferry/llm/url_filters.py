@@ -1,7 +1,8 @@
 """URL filters by short hash prefixes, in DataFrame functions only.
 
-Each url is expanded into host-suffix and path-prefix expressions of the shapes that occur among the rules; the
-expressions' digests are equi-joined with the rules' on their first bytes; full digests confirm, and precedence decides.
+Each url is expanded into its host's suffixes; those that some rule has are expanded by prefixes of the path, of the lengths
+that the host's rules have. Both kinds of expressions are equi-joined on the first bytes of their digests; full digests confirm, and
+precedence decides. So a url's work grows with its own labels and with the path lengths of the rules of its own hosts, not with the list.
 
 Shuffles: one, of a row for each url (the matches of a url are combined before it). The rules are the small side; Spark
 broadcasts them when its statistics show them to be under its limit, and else sort-merge joins, where adaptive execution
@@ -47,23 +48,29 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str, ..
     an empty table gives an empty one; other columns of df may have any name. keep: columns of df that are returned.
     """
     names = {f"k{i}": k for i, k in enumerate(keep)}
-    made = {"host", "path", "rule", "verdict"} & {k.lower() for k in keep}
-    if made:
+    if made := {"host", "path", "rule", "verdict"} & {k.lower() for k in keep}:
         raise ValueError(f"kept columns clash with results: {sorted(made)}")
     lists = pick(rules, host="host", path="path", action="action").dropna().distinct()
     lists = lists.where(F.col("action").isin("allow", "block") & (F.col("host") != "")).select(
         F.concat("host", "path").alias("rule"), F.translate("host", UPPER, LOWER).alias("host"), "path", "action"
     )
     lists = lists.withColumn("digest", F.sha2(F.concat("host", "path"), 256)).withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
-    # As many shapes as there are pairs of label count and path length among the rules, however many rules there are.
-    shapes = lists.select((F.size(F.split("host", r"\.", -1))).alias("labels"), F.length("path").alias("chars")).distinct().collect()
+    hosts = lists.groupBy("host").agg(F.array_sort(F.collect_set(F.length("path"))).alias("chars"))
+    hosts = hosts.select(F.sha2("host", 256).alias("host_digest"), "chars").withColumn("host_prefix", F.substring("host_digest", 1, PREFIX_DIGITS))
 
     host, path = split_url(F.col("u"))
     pages = pick(df, u=url, **names).select(F.monotonically_increasing_id().alias("rid"), *names, host.alias("host"), path.alias("path"))
-    found = [F.concat(F.substring_index("host", ".", -s.labels), F.substring("path", 1, s.chars)) for s in shapes]
-    asked = pages.withColumn("expr", F.explode(F.array_distinct(F.array(F.lit(None).cast("string"), *found))))
-    asked = asked.withColumn("asked", F.sha2("expr", 256)).withColumn("asked_prefix", F.substring("asked", 1, PREFIX_DIGITS))
-    near = asked.join(lists.select("prefix", "digest", "rule", "action"), F.col("asked_prefix") == F.col("prefix"), "left")
+    # Host suffixes first; only where a rule has that host are paths cut, to the lengths that its rules have.
+    most = lists.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 1  # longer suffixes can't be a rule's
+    labels = F.least(F.lit(most), F.size(F.split("host", r"\.", most + 1)))
+    suffixes = F.transform(F.sequence(F.lit(1), labels), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
+    asked = pages.withColumn("suffix", F.explode(F.array_distinct(F.concat(F.array(F.lit(None).cast("string")), suffixes))))
+    asked = asked.withColumn("asked", F.sha2("suffix", 256)).withColumn("asked_prefix", F.substring("asked", 1, PREFIX_DIGITS))
+    known = asked.join(hosts, (F.col("asked_prefix") == F.col("host_prefix")) & (F.col("asked") == F.col("host_digest")), "left")
+    cut = F.transform("chars", lambda n: F.concat("suffix", F.substr("path", F.lit(1), n)))
+    known = known.select("rid", *names, "host", "path", F.explode_outer(F.array_distinct(cut)).alias("expr"))
+    known = known.withColumn("asked", F.sha2("expr", 256)).withColumn("asked_prefix", F.substring("asked", 1, PREFIX_DIGITS))
+    near = known.join(lists.select("prefix", "digest", "rule", "action"), F.col("asked_prefix") == F.col("prefix"), "left")
     sure = (F.col("asked") == F.col("digest")) & (F.col("host") != "")
     rank = F.when(sure, F.struct(F.length("rule").alias("n"), F.length(F.substring_index("rule", "/", 1)).alias("h"), F.col("action"), F.col("rule")))
     best = near.groupBy("rid").agg(F.first(F.struct(*names, "host", "path")).alias("row"), F.max(rank).alias("best"))

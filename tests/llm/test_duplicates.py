@@ -67,14 +67,14 @@ def probability_jaccard(p, q):
     return sum(1 / np.maximum(x / p[g], y / q[g]).sum() for g in common)
 
 
-def brute_groups(texts, similar=0.8, measure="overlap"):
+def brute_groups(texts, similar=0.8, measure="dice"):
     sets = [shingle_counts(t or "") for t in texts]
     pairs = []
     for i in range(len(texts)):
         for j in range(i):
             if sets[i] and sets[j]:
                 s = probability_jaccard(sets[i], sets[j])
-                if (2 * s / (1 + s) if measure == "overlap" else s) >= similar - 1e-12:
+                if (2 * s / (1 + s) if measure == "dice" else s) >= similar - 1e-12:
                     pairs.append((i, j))
             elif texts[i] and texts[i] == texts[j]:
                 pairs.append((i, j))
@@ -84,7 +84,7 @@ def brute_groups(texts, similar=0.8, measure="overlap"):
 def check(spark, texts, **options):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = {r.doc_id: r for r in near_dup.grouped(df, **options).collect()}
-    want = brute_groups(texts, measure=options.get("measure", "overlap"))
+    want = brute_groups(texts, measure=options.get("measure", "dice"))
     assert {i: r.component_id for i, r in got.items()} == dict(enumerate(want))
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
     kept = sorted(r.doc_id for r in near_dup.deduplicated(df, **options).collect())
@@ -98,7 +98,7 @@ def varied(r, words, changes):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("small,block,measure", [(16, 128, "overlap"), (2, 4, "overlap"), (2, 4, "jaccard")])
+@pytest.mark.parametrize("small,block,measure", [(16, 128, "dice"), (2, 4, "dice"), (2, 4, "jaccard")])
 def test_groups_like_brute_force(spark, monkeypatch, small, block, measure):
     monkeypatch.setattr(near_dup, "SMALL", small)
     monkeypatch.setattr(near_dup, "BLOCK", block)

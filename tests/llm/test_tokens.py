@@ -8,6 +8,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkferry.llm import packing, tree_bpe
@@ -118,3 +119,26 @@ def test_pack_frames(spark):
     assert packing.pack(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         packing.pack(empty(spark), most=1000)
+
+
+@pytest.mark.parametrize("kept", [("doc_id", "ids"), ("doc_id", "BUCKET"), ("doc_id", "doc_id")])
+def test_kept_columns_that_clash_raise(spark, kept):
+    rows = clashing(odd(spark)).withColumn("BUCKET", F.lit(1))
+    with pytest.raises(ValueError, match="clash"):
+        packing.pack(rows, keep=kept)
+
+
+def test_buckets_hold_one_length(spark, tmp_path):
+    pieces = packing.pack(odd(spark))
+    packing.write_buckets(pieces, f"{tmp_path}/b", files=2)
+    back = spark.read.parquet(f"{tmp_path}/b")
+    assert sorted(map(tuple, back.select(*pieces.columns).collect()), key=repr) == sorted(map(tuple, pieces.collect()), key=repr)
+    assert {int(x.name.split("=")[1]) for x in (tmp_path / "b").iterdir() if x.is_dir()} == {r.piece_length for r in pieces.collect()}
+    assert all(len(list(x.glob("*.parquet"))) <= 2 for x in (tmp_path / "b").iterdir() if x.is_dir())
+
+
+def test_heap_merges_like_the_scan():
+    r = random.Random(8)
+    for _ in range(200):
+        data = "".join(r.choice("theinaorsd ") for _ in range(r.randint(2, 200))).encode()
+        assert OWN._merge_by_heap(data) == OWN.merge(data)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +84,36 @@ def test_registered_chat_query(spark):
     odd = r"\### Assistant: </turn> ok"
     assert row.n_turns == 2 and row.loss_chars == len(odd) and row.loss_sha256 == hashlib.sha256(odd.encode()).hexdigest()
     assert row.turns_sha256 == hashlib.sha256(f"user\n{odd}\nassistant\n{odd}\n".encode()).hexdigest()
+
+
+def test_chat_runs_no_python(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string").limit(1)
+    out = chat.format_chat(df).select(chat.read_back(F.col("formatted")), chat.under_loss(F.col("formatted"), F.col("loss")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Cartesian"))
+
+
+@pytest.mark.parametrize("roles", [["user", "assistant"], ["assistant"]])
+def test_chat_is_linear_in_turns(spark, roles):
+    """A hot conversation: sixteen times the turns may take at most some forty times as long; squares would be 256."""
+
+    def seconds(n):
+        role = F.element_at(F.array(*map(F.lit, roles)), (F.col("id") % len(roles) + 1).cast("int"))
+        df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("\\ ### text "), F.col("id").cast("string")).alias("text"))
+        out = chat.format_chat(df).select(F.size(chat.read_back(F.col("formatted"))).alias("n"), F.size(chat.under_loss(F.col("formatted"), F.col("loss"))).alias("m"))
+        began = time.perf_counter()
+        assert tuple(out.first()) == (n, n // len(roles))
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(32_000) < 40 * max(seconds(2_000), 0.2)
+
+
+def test_rules_of_many_shapes(spark):
+    r = random.Random(4)
+    label = lambda: r.choice("abcdefgh")
+    rules = sorted({(r.choice(["block", "allow"]), ".".join(label() for _ in range(r.randint(1, 4))) + "/" + "".join(label() for _ in range(r.randint(0, 9)))) for _ in range(400)})
+    urls = ["http://" + ".".join(label() for _ in range(r.randint(1, 6))) + "/" + "".join(label() for _ in range(r.randint(0, 12))) for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = rows(url_filters.judge(pages, url_filters.rules_frame(spark, rules)))
+    assert got == sorted([(i, *brute(u, rules)) for i, u in enumerate(urls)], key=repr)
