@@ -62,10 +62,19 @@ def pages(df: DataFrame, key: list[str], size: int) -> Iterator[DataFrame]:
         last = list(tail)
 
 
-def _bounds(df: DataFrame, key: list[str], parts: int) -> list:
-    """Up to parts - 1 keys that cut the table into about equal ranges, from a sample of about 100 keys for each part, by hash."""
+#: Rows that a range has on average, and ranges at most: these are literals of the plan.
+RANGE_ROWS, RANGES = 1_000_000, 1024
+
+
+def _bounds(df: DataFrame, key: list[str], parts: int | None) -> list:
+    """Up to parts - 1 keys that cut the table into about equal ranges, from a sample of about 100 keys for each part, by hash.
+    Without a number of parts it is what the table's size asks for."""
     keys = df.select(*[F.col(f"`{k}`") for k in page_order(key)])
-    share = min(1.0, 100 * parts / max(1, keys.count()))
+    total = keys.count()
+    parts = min(RANGES, -(-total // RANGE_ROWS)) if parts is None else parts
+    if parts < 2:
+        return []
+    share = min(1.0, 100 * parts / max(1, total))
     place = F.pmod(F.xxhash64(*keys.columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = keys.where(place < share).orderBy(*keys.columns).collect()
     step = max(1, len(sample) // parts)
@@ -85,11 +94,12 @@ def _range_of(row: Column, bounds: list[Column], low: int = 0, high: int | None
     return F.when(row < bounds[mid], _range_of(row, bounds, low, mid)).otherwise(_range_of(row, bounds, mid + 1, high))
 
 
-def numbered(df: DataFrame, key: list[str], size: int, parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, key: list[str], size: int, parts: int | None = None) -> DataFrame:
     """df with page_id (0 and up), for all pages at once, without a single-task sort.
 
     Rows fall into key ranges between fixed bounds, so that each evaluation of the plan cuts alike; a running total of
     the ranges' counts, of which there are `parts` at most, gives each range its first number, and rows are numbered within ranges.
+    parts: by default one for each million rows, up to 1024.
     """
     types = dict(df.dtypes)
     order = [F.col(f"`{k}`").asc() for k in page_order(key)]

@@ -262,14 +262,45 @@ KEYS = [
     ("supplier", "fk_nation", "FOREIGN KEY", 1, "s_nationkey", "nation", "n_nationkey"), ("part", "pk", "PRIMARY KEY", 1, "p_partkey", None, None), ("orders", "pk", "PRIMARY KEY", 1, "o_orderkey", None, None),
     ("orders", "fk_customer", "FOREIGN KEY", 1, "o_custkey", "customer", "c_custkey"), ("lineitem", "fk_orders", "FOREIGN KEY", 1, "l_orderkey", "orders", "o_orderkey"),
     ("lineitem", "fk_part", "FOREIGN KEY", 1, "l_partkey", "part", "p_partkey"), ("lineitem", "fk_supplier", "FOREIGN KEY", 1, "l_suppkey", "supplier", "s_suppkey"),
-    ("conversations", "pk", "PRIMARY KEY", 2, "turn", None, None), ("conversations", "pk", "PRIMARY KEY", 1, "conv_id", None, None), ("categories", "fk_parent", "FOREIGN KEY", 1, "parent_id", "categories", "category_id"),
+    ("conversations", "pk", "PRIMARY KEY", 2, "turn", None, None), ("conversations", "pk", "PRIMARY KEY", 1, "conv_id", None, None), ("categories", "fk_categories", "FOREIGN KEY", 1, "parent_id", "categories", "category_id"),
 ]
 KEY_COLUMNS = "table_name name kind place column_name to_table to_column"
 KEYS_SQL = f"(select * from ({sql_values(KEYS)}) v({', '.join(KEY_COLUMNS.split())}))"
 
 
+#: A database with the keys above, and indexes; what SQLite's catalog says of it is read by the catalog reader.
+SCHEMA_SQL = """
+create table region (r_regionkey int primary key, r_name text);
+create table nation (n_nationkey int primary key, n_name text, n_regionkey int, constraint fk_region foreign key (n_regionkey) references region (r_regionkey));
+create table customer (c_custkey bigint primary key, c_name text, c_nationkey int, constraint fk_nation foreign key (c_nationkey) references nation (n_nationkey));
+create table supplier (s_suppkey bigint primary key, s_nationkey int, constraint fk_nation foreign key (s_nationkey) references nation (n_nationkey));
+create table part (p_partkey bigint primary key, p_name text);
+create table orders (o_orderkey bigint primary key, o_custkey bigint, o_orderdate timestamp, constraint fk_customer foreign key (o_custkey) references customer (c_custkey));
+create table lineitem (l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, constraint fk_orders foreign key (l_orderkey) references orders (o_orderkey),
+  constraint fk_part foreign key (l_partkey) references part (p_partkey), constraint fk_supplier foreign key (l_suppkey) references supplier (s_suppkey));
+create table conversations (turn bigint, conv_id bigint, role text, constraint pk primary key (conv_id, turn));
+create table categories (category_id int, parent_id int, constraint fk_parent foreign key (parent_id) references categories (category_id));
+create index ix_cust on orders (o_custkey); create index ix_cust_date on orders (o_custkey, o_orderdate); create unique index ux_name on customer (c_name);
+"""
+
+
+def sqlite_tables() -> list[Table]:
+    import sqlite3
+
+    from sparkferry.sources import sqlite_catalog
+
+    with sqlite3.connect(":memory:") as c:
+        c.executescript(SCHEMA_SQL)
+        return [sqlite_catalog.describe(c, name) for (name,) in c.execute("select name from sqlite_master where type = 'table' order by name").fetchall()]
+
+
 def catalog_keys(spark):
-    return relation(spark, KEY_COLUMNS, KEYS)
+    """The keys and references that the catalog reader finds, a row for each column. A key without a name of its own is `pk`, a reference without one is named by its target."""
+    rows = []
+    for t in sqlite_tables():
+        rows += [(t.name, "pk", "PRIMARY KEY", i + 1, c, None, None) for i, c in enumerate(t.key)]
+        rows += [(t.name, f"fk_{c.to_table}", "FOREIGN KEY", i + 1, a, c.to_table, b) for c in t.foreign_keys for i, (a, b) in enumerate(zip(c.columns, c.to_columns, strict=True))]
+    return relation(spark, KEY_COLUMNS, rows)
 
 
 def grouped_columns(rows: DataFrame, by: list[str], place: str, column: str, to: str) -> DataFrame:
@@ -301,8 +332,8 @@ INDEXES = [("orders", "ix_cust", 1, "o_custkey", 0), ("orders", "ix_cust_date",
 
 @register("index_columns", f"select table_name, name, is_unique, string_agg(column_name, ',' order by place) as columns from ({sql_values(INDEXES)}) v(table_name, name, place, column_name, is_unique) group by all")
 def index_columns(spark, sf_dir):
-    rows = relation(spark, "table_name name place column_name is_unique", INDEXES)
-    return grouped_columns(rows, ["table_name", "name", "is_unique"], "place", "column_name", "columns")
+    rows = [(t.name, i.name, k + 1, c, int(i.unique)) for t in sqlite_tables() for i in t.indexes if not i.primary for k, c in enumerate(i.columns)]
+    return grouped_columns(relation(spark, "table_name name place column_name is_unique", rows), ["table_name", "name", "is_unique"], "place", "column_name", "columns")
 
 
 @register("fk_dependencies", f"select distinct table_name, to_table from {KEYS_SQL} where kind = 'FOREIGN KEY' and table_name <> to_table and to_table in (select table_name from {KEYS_SQL})")
@@ -332,8 +363,8 @@ _ORDER = ["categories", "conversations", "part", "region", "nation", "customer",
 
 @register("fk_order", f"select * from ({sql_values([(i, t) for i, t in enumerate(_ORDER)])}) v(place, table_name)")
 def fk_order(spark, sf_dir):
-    edges = {(t, to) for t, _, kind, _, _, to, _ in KEYS if kind == "FOREIGN KEY" and t != to}
-    return relation(spark, "place table_name", list(enumerate(graph.ordered(sorted({k[0] for k in KEYS}), edges))))
+    found = sqlite_tables()
+    return relation(spark, "place table_name", list(enumerate(graph.ordered([t.name for t in found], graph.edges_of(found)))))
 
 
 # --- types and definitions -------------------------------------------------------------------------------------------
@@ -447,7 +478,21 @@ def ddl_alter(spark, sf_dir):
     return relation(spark, "place phase statement", [(i, s.phase.name, s.sql) for i, s in enumerate(made)])
 
 
-@register("ddl_create")
+_CREATED = [
+    ("mysql", "DROP_TABLE", "DROP TABLE IF EXISTS `posts`"),
+    ("mysql", "CREATE_TABLE", "CREATE TABLE `posts` (`id` int(11) AUTO_INCREMENT NOT NULL, `user_id` int NOT NULL, `title` varchar(200) NOT NULL, `views` int DEFAULT 0, `live` tinyint(1) DEFAULT '1' NOT NULL, `at` datetime DEFAULT CURRENT_TIMESTAMP, PRIMARY KEY (`id`))"),
+    ("mysql", "ADD_INDEX", "CREATE INDEX `ix_views` ON `posts` (`views`)"), ("mysql", "ADD_INDEX", "CREATE UNIQUE INDEX `ux_title` ON `posts` (`title`)"),
+    ("mysql", "ADD_CONSTRAINT", "ALTER TABLE `posts` ADD CONSTRAINT `chk_views` CHECK (views >= 0)"),
+    ("mysql", "ADD_CONSTRAINT", "ALTER TABLE `posts` ADD CONSTRAINT `fk_user` FOREIGN KEY (`user_id`) REFERENCES `users` (`id`) ON DELETE CASCADE"),
+    ("postgres", "DROP_TABLE", 'DROP TABLE IF EXISTS "posts" CASCADE'),
+    ("postgres", "CREATE_TABLE", 'CREATE TABLE IF NOT EXISTS "posts" ("id" INTEGER GENERATED BY DEFAULT AS IDENTITY NOT NULL, "user_id" INTEGER NOT NULL, "title" VARCHAR(200) NOT NULL, "views" INTEGER DEFAULT 0, "live" BOOLEAN DEFAULT TRUE NOT NULL, "at" TIMESTAMP WITHOUT TIME ZONE DEFAULT CURRENT_TIMESTAMP, PRIMARY KEY ("id"))'),
+    ("postgres", "ADD_INDEX", 'CREATE INDEX IF NOT EXISTS "ix_views" ON "posts" ("views")'), ("postgres", "ADD_INDEX", 'CREATE UNIQUE INDEX IF NOT EXISTS "ux_title" ON "posts" ("title")'),
+    ("postgres", "ADD_CONSTRAINT", 'ALTER TABLE "posts" ADD CONSTRAINT "chk_views" CHECK (views >= 0)'),
+    ("postgres", "DEFERRED", 'ALTER TABLE "posts" ADD CONSTRAINT "fk_user" FOREIGN KEY ("user_id") REFERENCES "users" ("id") ON DELETE CASCADE DEFERRABLE INITIALLY DEFERRED'),
+]
+
+
+@register("ddl_create", f"select dialect, cast(row_number() over (partition by dialect order by n) - 1 as integer) as place, phase, statement from ({sql_values([(i, *c) for i, c in enumerate(_CREATED)])}) v(n, dialect, phase, statement)")
 def ddl_create(spark, sf_dir):
     rows = [(dst, i, s.phase.name, s.sql) for dst in ("mysql", "postgres") for i, s in enumerate(schema_diff.plan(BLOG, None, dst, "drop_create").statements)]
     return relation(spark, "dialect place phase statement", rows)
@@ -469,6 +514,56 @@ def ddl_order(spark, sf_dir):
 
 # --- runs ------------------------------------------------------------------------------------------------------------
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder where the session keeps what driver and executors share, or a temporary one in a local session that names none."""
+    import os
+    import tempfile
+
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", "").removeprefix("file:").replace("//", "/")
+    if at.startswith("/"):
+        os.makedirs(at, exist_ok=True)
+    return tempfile.mkdtemp(prefix="sparkferry-run-", dir=at if at.startswith("/") else None)
+
+
+_SHOP = """
+create table nation (n_nationkey int primary key, n_name text not null);
+create table customer (c_custkey bigint primary key, c_name varchar(40) not null, c_nationkey int references nation (n_nationkey), c_acctbal double, c_mktsegment text default 'NONE');
+create index ix_nation on customer (c_nationkey);
+"""
+
+
+def synced(spark: SparkSession, sf_dir: str):
+    """A run between two databases: the source has nations and customers; the destination, customers that have gone stale, one of its own, and
+    no column for the segment. Returns the results and the destination."""
+    import sqlite3
+
+    from sparkferry.plans.config import Config
+    from sparkferry.sources.stores import SqliteStore
+
+    folder = _folder(spark)
+    for name, script in (("source", _SHOP), ("copy", _SHOP.replace(", c_mktsegment text default 'NONE'", ""))):
+        with sqlite3.connect(f"{folder}/{name}.db") as c:
+            c.executescript(script)
+    source, copy = (SqliteStore(spark, f"{folder}/{n}.db") for n in ("source", "copy"))
+    nation, customer = table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), table(spark, sf_dir, "customer")
+    source.save("nation", nation, [], None)
+    source.save("customer", customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), [], None)
+    copy.save("nation", nation.where("n_nationkey < 5"), [], None)
+    own = spark.range(1).select(F.lit(-1).cast("long").alias("c_custkey"), F.lit("own").alias("c_name"), F.lit(1).alias("c_nationkey"), F.lit(0.5).alias("c_acctbal"))
+    copy.save("customer", customer.where("c_custkey % 3 = 0").select("c_custkey", F.lit("stale").alias("c_name"), F.lit(2).alias("c_nationkey"), F.lit(0.0).alias("c_acctbal")).unionByName(own), [], None)
+    return runner.run(source, copy, Config(source="sqlite", destination="sqlite", strategy="alter", retries=0, workers=2)), copy
+
+
+@register("e2e_sqlite", "select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, c_mktsegment from customer union all select -1, 'own', 1, 0.5, 'NONE'")
+def e2e_sqlite(spark, sf_dir):
+    return synced(spark, sf_dir)[1].read("customer")
+
+
+@register("e2e_results", "select 'customer' as \"table\", 'ok' as status, count(*) as rows from customer union all select 'nation', 'ok', count(*) from nation")
+def e2e_results(spark, sf_dir):
+    return runner.results_frame(spark, synced(spark, sf_dir)[0]).select("table", "status", "rows")
+
+
 _OUTCOMES = [("users", "ok"), ("posts", "constraint_failed"), ("tags", "skipped")]
 
 

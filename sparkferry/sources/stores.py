@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sqlite3
 import time
@@ -130,8 +131,23 @@ class ParquetStore(Store):
             return f"{top}/v{whole.removeprefix(MARKER)}"
         return None if any(re.match(r"v\d", n) for n in listed) else top
 
+    def _parts(self, name: str) -> dict[int, str]:
+        """For a table in buckets: each bucket's folder, as its marker lists them. Others have none."""
+        path = self._path(name)
+        if path is None or "/v" not in path.removeprefix(self.folder):
+            return {}
+        top, _, version = path.rpartition("/v")
+        marker, fs = self._fs(f"{top}/{MARKER}{version}")
+        stream = fs.open(marker)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return {int(k): f"{top}/{v}" for k, v in json.loads(text or "{}").items()}
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name))
+        parts = self._parts(name)
+        return self.spark.read.parquet(*(parts.values() if parts else [self._path(name)]))
 
     def describe(self, name: str) -> Table | None:
         if name in self.specs:
@@ -141,18 +157,53 @@ class ParquetStore(Store):
         fields = self.read(name).schema.fields
         return Table(name, self.dialect, tuple(Column(f.name, SPARK_NAMES.get(f.dataType.typeName(), f.dataType.simpleString()), f.nullable, ordinal=i) for i, f in enumerate(fields)))
 
-    def write(self, name: str, df: DataFrame) -> None:
-        version = f"{max((int(m[1]) for n in self._listed(name) if (m := re.match(r'v(\d+)', n))), default=0) + 1:012d}-{uuid.uuid4().hex}"
+    def _version(self, name: str) -> str:
+        return f"{max((int(m[1]) for n in self._listed(name) if (m := re.match(r'v(\d+)', n))), default=0) + 1:012d}-{uuid.uuid4().hex}"
+
+    def _publish(self, name: str, version: str, parts: dict[int, str]) -> None:
+        """Makes a version count, by a marker file that is whole when it gets its name."""
         top = f"{self.folder}/{name}.parquet"
-        df.write.parquet(f"{top}/v{version}")
         marker, fs = self._fs(f"{top}/{MARKER}{version}")
-        fs.create(marker, False).close()
+        draft, _ = self._fs(f"{top}/_draft-{version}")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(parts).encode() if parts else b""))
+        out.close()
+        fs.rename(draft, marker)
+
+    def write(self, name: str, df: DataFrame) -> None:
+        version = self._version(name)
+        df.write.parquet(f"{self.folder}/{name}.parquet/v{version}")
+        self._publish(name, version, {})
+
+    def merge_buckets(self, name: str, rows: DataFrame, key: list[str], buckets: int = 64) -> None:
+        """Upserts rows, unique by key, into a table that is kept in buckets of its key's hash: only buckets that the rows fall into are
+        read and written again. A table that isn't there, or not in so many buckets, is first written in full."""
+        bucket = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key]), F.lit(buckets)).cast("int")
+        top, parts, version = f"{self.folder}/{name}.parquet", self._parts(name), self._version(name)
+        rows = rows.withColumn("__bucket", bucket)
+        touched = sorted(r[0] for r in rows.select("__bucket").distinct().collect())
+        if name in self.tables() and len(parts) != buckets:
+            old, parts, touched = self.read(name), {}, list(range(buckets))
+        elif found := [parts[k] for k in touched if k in parts]:
+            old = self.spark.read.parquet(*found)
+        else:
+            old = rows.drop("__bucket").limit(0)
+        merged = merge.upsert(old, rows.drop("__bucket"), key).withColumn("__bucket", bucket)
+        merged.repartition(F.col("__bucket")).write.partitionBy("__bucket").parquet(f"{top}/v{version}")
+        p, fs = self._fs(f"{top}/v{version}")
+        written = {int(m[1]) for s in fs.listStatus(p) if (m := re.fullmatch(r"__bucket=(\d+)", s.getPath().getName()))}
+        for k in set(range(buckets)) - written - set(parts):  # empty ones too, so that all are listed
+            merged.drop("__bucket").limit(0).write.parquet(f"{top}/v{version}/__bucket={k}")
+            written.add(k)
+        kept = {k: path.removeprefix(f"{top}/") for k, path in parts.items()}
+        self._publish(name, version, kept | {k: f"v{version}/__bucket={k}" for k in written})
 
     def vacuum(self, name: str) -> None:
         """Deletes all versions but the one that counts; no reader of them, and no writer, may be left."""
         now = (self._path(name) or "").rpartition("/v")[2]
+        used = {path.split("/")[-2] for path in self._parts(name).values()}
         for n in self._listed(name):
-            if re.match(rf"(v|{MARKER})\d", n) and not n.endswith(now):
+            if re.match(rf"(v|{MARKER}|_draft-)\d", n) and not n.endswith(now) and n not in used:
                 p, fs = self._fs(f"{self.folder}/{name}.parquet/{n}")
                 fs.delete(p, True)
 

@@ -132,12 +132,22 @@ def test_jdbc_with_the_bundled_database(spark, tmp_path):
 def test_stream_of_changes(spark, tmp_path):
     folder = str(tmp_path / "changes")
     store = ParquetStore(spark, str(tmp_path / "out"))
-    spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, at int, v string").write.parquet(folder)
+    put = lambda rows: spark.createDataFrame(rows, "k int, at int, v string").coalesce(1).write.mode("append").parquet(folder)
+    put([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")])
     stream = spark.readStream.schema("k int, at int, v string").parquet(folder)
-    for _ in range(2):
-        merge_stream(stream, store, "t", ["k"], [F.col("at")], str(tmp_path / "check")).awaitTermination()
-        assert sorted((r.k, r.v) for r in store.read("t").collect()) == [(1, "b"), (2, "c")]
-        spark.createDataFrame([(2, 5, "d"), (1, 2, "b")], "k int, at int, v string").limit(0).write.mode("append").parquet(folder)
+    run = lambda: merge_stream(stream, store, "t", ["k"], [F.col("at")], str(tmp_path / "check"), buckets=4).awaitTermination()
+    run()
+    first = store._parts("t")
+    assert sorted((r.k, r.v) for r in store.read("t").collect()) == [(1, "b"), (2, "c")] and len(first) == 4
+    put([(2, 5, "d"), (2, 4, "x")])
+    run()
+    assert sorted((r.k, r.v) for r in store.read("t").collect()) == [(1, "b"), (2, "d")]
+    assert sum(store._parts("t")[k] != first[k] for k in range(4)) == 1  # one bucket only is written again
+    store.vacuum("t")
+    assert sorted((r.k, r.v) for r in store.read("t").collect()) == [(1, "b"), (2, "d")]
+    store.write("u", spark.createDataFrame([(i, 0, "old") for i in range(20)], "k int, at int, v string"))
+    store.merge_buckets("u", spark.createDataFrame([(3, 1, "new"), (99, 1, "new")], "k int, at int, v string"), ["k"], 4)
+    assert sorted(r.k for r in store.read("u").where("v = 'new'").collect()) == [3, 99] and store.read("u").count() == 21
 
 
 def test_versions_of_a_table(spark, tmp_path):
