@@ -1,15 +1,20 @@
 """Near-duplicate embeddings: exact threshold pairs by dual traversal of cover trees.
 
-Equal vectors of a label are one node. Vectors go to the cell of their nearest pivot, cells are cut into blocks of bounded
-size, and pairs of blocks whose cells' covering radii rule out a link are dropped. Each remaining pair of blocks is a task
-of bounded memory: both blocks get a cover tree (nested nets, each level's radius half the last one's, from one
-farthest-first order), and pairs of tree nodes are followed from the roots down. A pair whose covering radii rule out a
-link is pruned; a pair whose radii make every link certain is taken as a whole, so that dense groups cost no listing of
-their pairs. What is left at the leaves is compared exactly, by cosine in double precision.
+Equal vectors of a label are one node. Each label's vectors make a tree in two parts:
+* above, cells: a cell that is too large is split by pivots, far from each other, that a sample of it gives; each vector goes to its
+  nearest pivot, and a cell knows its pivot and its covering radius. Levels go on until cells are small, so their number
+  grows with the logarithm of a label's size, and all cells of a level are split at once, in a pass over their vectors;
+* below, a cover tree for each small cell, a block: nested nets, each level's radius half the last one's, from one farthest-first
+  order. It is built once and kept as one row.
+
+Pairs are followed down both parts from the roots. A pair of cells, or of tree nodes, whose covering radii rule out a link is
+pruned; a pair of nodes whose radii make every link certain is taken as a whole, so that dense groups cost no listing of their
+pairs. Blocks meet only in pairs that are left. What is left at the leaves is compared exactly, by cosine in double precision.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +27,9 @@ from sparkferry.llm._frames import Held, pick, ship
 from sparkferry.llm.components import components, join_hubs
 
 COSINE = 0.93
-#: Vectors of a block, on average; vectors of the sample that pivots are chosen from, at most about; pivots, at most.
-BLOCK, SAMPLE, PIVOTS = 2048, 2048, 128
+#: Vectors of a block, about; a cell of more than twice as many is split. Vectors of the sample that a cell's pivots are chosen
+#: from, about; a cell's pivots, at most; and levels of cells, at most. A cell that is still too large then is cut by hash.
+BLOCK, SAMPLE, PIVOTS, LEVELS = 2048, 512, 32, 12
 #: Distances are told apart from the threshold only beyond rounding.
 SLACK = 1e-7
 
@@ -47,7 +53,7 @@ class CoverTree:
             far = np.minimum(far, chord(x @ x[now]))
             far[now] = -1
             now = int(far.argmax())
-        self.order, self.x, self.w = order, x[order], weight[order]
+        self.order, self.x, self.w = order, x[order], weight[order].astype(float)
         self.sizes, radius = [1], 1.0
         while radius > least and self.sizes[-1] < n:
             size = int(np.searchsorted(-gap, -radius, "left"))
@@ -73,6 +79,24 @@ class CoverTree:
             self.reach.append(reach)
             self.weight.append(np.bincount(over, self.w, size))
 
+    def packed(self, node: np.ndarray) -> bytes:
+        """The tree with its vectors' node numbers (in their order before the tree's), as one row's bytes."""
+        out = io.BytesIO()
+        np.savez(out, x=self.x, w=self.w, node=node[self.order], sizes=np.array(self.sizes), **{f"up{i}": u.astype(np.int32) for i, u in enumerate(self.up)}, **{f"reach{i}": r for i, r in enumerate(self.reach)})
+        return out.getvalue()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> CoverTree:
+        """A tree as `packed` made it; `node` has its vectors' node numbers."""
+        got, tree = np.load(io.BytesIO(data)), cls.__new__(cls)
+        tree.x, tree.w, tree.node, tree.sizes = got["x"], got["w"], got["node"], got["sizes"].tolist()
+        tree.up, tree.reach = ([got[f"{kind}{i}"] for i in range(len(tree.sizes))] for kind in ("up", "reach"))
+        tree.over = [np.arange(len(tree.x))]
+        for up in reversed(tree.up[1:]):
+            tree.over.insert(0, up[tree.over[0]])
+        tree.weight = [np.bincount(over, tree.w, size) for size, over in zip(tree.sizes, tree.over, strict=True)]
+        return tree
+
 
 def chord(dot: np.ndarray) -> np.ndarray:
     """Distance of unit vectors by their product."""
@@ -141,6 +165,28 @@ def smallest_label(n: int, links: np.ndarray) -> np.ndarray:
         label = new
 
 
+def normalized(column: pa.Array, wanted: np.ndarray) -> tuple[list[bytes | None], np.ndarray]:
+    """Each vector's unit vector as bytes of doubles, or None where it has no direction or isn't wanted, and each one's length.
+    Vectors of one length are one matrix; those of any row are made alike, so that equal vectors have equal bytes."""
+    column = column.cast(pa.list_(pa.float64()))
+    values, ends = column.values, column.offsets.to_numpy()
+    flat = values.to_numpy(zero_copy_only=False)  # nulls are nan
+    dims = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), 0)
+    units: list[bytes | None] = [None] * len(column)
+    for dim in np.unique(dims[dims > 0]):
+        rows = np.flatnonzero((dims == dim) & wanted)
+        x = flat[ends[rows][:, None] + np.arange(dim)[None]]
+        most = np.abs(x).max(axis=1)
+        fine = np.isfinite(most) & (most > 0)  # a nan makes the maximum nan
+        x, most, rows = x[fine], most[fine], rows[fine]
+        odd = (most <= 1e-100) | (most >= 1e100)
+        x[odd] /= most[odd][:, None]  # squares stay within range
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        for row, unit in zip(rows.tolist(), x, strict=True):
+            units[row] = unit.tobytes()
+    return units, dims
+
+
 def _units(df: DataFrame) -> DataFrame:
     """Rows with rid, unit (doubles, null for a vector without a direction), dim and key (of label and vector)."""
     schema = T.StructType([*[f for f in df.schema.fields if f.name != "v"], *T._parse_datatype_string("rid long, unit binary, dim int, key binary").fields])
@@ -152,19 +198,13 @@ def _units(df: DataFrame) -> DataFrame:
 
         rid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for b in batches:
-            units, dims, keys = [], [], []
-            for v, label in zip(b.column("v").to_pylist(), b.column("label").to_pylist(), strict=True):
-                unit = None
-                if v and label is not None and None not in v:
-                    x = np.array(v, np.float64)
-                    with np.errstate(all="ignore"):
-                        most = np.abs(x).max()
-                        if np.isfinite(most) and most > 0:
-                            x = x / most if not 1e-100 < most < 1e100 else x  # squares stay within range
-                            unit = (x / np.sqrt(x @ x)).tobytes()
-                units.append(unit)
-                dims.append(len(v) if v else 0)
-                keys.append(hashlib.blake2b(unit, digest_size=16, salt=hashlib.blake2b(repr(label).encode(), digest_size=16).digest()).digest() if unit else None)
+            units, dims = normalized(b.column("v"), b.column("label").is_valid().to_numpy(zero_copy_only=False))
+            salts: dict = {}
+            keys = []
+            for unit, label in zip(units, b.column("label").to_pylist(), strict=True):
+                if unit is not None and label not in salts:
+                    salts[label] = hashlib.blake2b(repr(label).encode(), digest_size=16).digest()
+                keys.append(hashlib.blake2b(unit, digest_size=16, salt=salts[label]).digest() if unit is not None else None)
             made = [pa.array(np.arange(rid, rid + b.num_rows)), pa.array(units, pa.binary()), pa.array(dims, pa.int32()), pa.array(keys, pa.binary())]
             rid += b.num_rows
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), *made], schema.names)
@@ -172,19 +212,62 @@ def _units(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _pivots(nodes: DataFrame, total: int) -> dict[int, np.ndarray]:
-    """Pivots by dimension, farthest first, from a sample that SAMPLE bounds: as many as make the largest label's cells about blocks."""
-    largest = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    place = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = sorted((r.dim, bytes(r.unit)) for r in nodes.where(place < SAMPLE / max(1, total)).select("dim", "unit").collect())
-    out = {}
-    for dim in sorted({d for d, _ in sample}):
-        x = np.stack([np.frombuffer(u) for d, u in sample if d == dim])
-        most = int(min(PIVOTS, max(1, largest // BLOCK), len(x)))
-        out[dim] = x[CoverTree(x, np.ones(len(x)), 0.0).order[:most]]
+def _cells(members: DataFrame) -> Held:
+    """The cells of members: (cell, up, center, reach, n), where up is the cell that it was cut from, or itself."""
+    return Held(members.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("reach"), F.first("center").alias("center"), F.first("up").alias("up")))
+
+
+def _split(members: DataFrame, cells: DataFrame, level: int) -> Held:
+    """Members in new cells, where theirs were too large.
+
+    A sample that is bounded for each cell gives its pivots, one row for each cell; vectors meet them in chunks of about a block.
+    """
+    marked = join_hubs(members.drop("up"), cells.select("cell", "n"), "cell", members.count())
+    place = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    def choose(t: pa.Table) -> pa.Table:
+        x = np.stack([np.frombuffer(u) for u in sorted(t.column("unit").to_pylist())])
+        most = max(2, min(PIVOTS, -(-t.column("n")[0].as_py() // BLOCK)))
+        pivots = x[CoverTree(x, np.ones(len(x)), 0.0).order[:most]]
+        return pa.table({"cell": t.column("cell").slice(0, 1), "pivots": pa.array([pivots.tobytes()], pa.binary())})
+
+    pivots = Held(marked.where((F.col("n") > 2 * BLOCK) & (place < SAMPLE / F.col("n"))).select("cell", "unit", "n").groupBy("cell").applyInArrow(choose, "cell string, pivots binary"))
+    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
+    todo = marked.where(F.col("n") > 2 * BLOCK).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+    each = pivots.df.join(cells.select("cell", "n"), "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("n")
+
+    def assign(t: pa.Table, p: pa.Table) -> pa.Table:
+        keep = t.select(["node", "w", "unit", "dim"])
+        if not t.num_rows or not p.num_rows:  # chance may leave a cell without a sample: it waits for the next level
+            return pa.Table.from_arrays([*keep.columns, *[t.column(c) for c in ("cell", "gap", "center", "cell")]], [*keep.schema.names, "cell", "gap", "center", "up"])
+        x = np.stack([np.frombuffer(u) for u in t.column("unit").to_pylist()])
+        table = np.frombuffer(p.column("pivots")[0].as_py()).reshape(-1, x.shape[1])
+        dots = x @ table.T
+        near = dots.argmax(axis=1)
+        name, centers = t.column("cell")[0].as_py(), [c.tobytes() for c in table]
+        made = [pa.array([f"{name}/{k}" for k in near.tolist()]), pa.array(chord(dots.max(axis=1))), pa.array([centers[k] for k in near.tolist()], pa.binary()), t.column("cell")]
+        return pa.Table.from_arrays([*keep.columns, *made], [*keep.schema.names, "cell", "gap", "center", "up"])
+
+    split = todo.groupBy("cell", "chunk").cogroup(each.groupBy("cell", "chunk")).applyInArrow(assign, "node long, w long, unit binary, dim int, cell string, gap double, center binary, up string")
+    out = Held(marked.where(F.col("n") <= 2 * BLOCK).withColumn("up", F.col("cell")).select(*split.columns).unionByName(split))
+    pivots.drop()
     return out
 
 
+def _open_pairs(pairs: DataFrame, bound: float) -> DataFrame:
+    """Of pairs of cells (a, b, ca, cb, reach: both together), those that their covering radii leave open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for i, (x, y, reach) in enumerate(zip(b.column("ca").to_pylist(), b.column("cb").to_pylist(), b.column("reach").to_pylist(), strict=True)):
+                if x is not None and y is not None and x != y:
+                    keep[i] = chord(np.float64(np.frombuffer(x) @ np.frombuffer(y))) - reach <= bound + SLACK
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.mapInArrow(run, "a string, b string")
+
+
 def grouped(df: DataFrame, vector: str = "embedding", label: str = "label", key: str = "vec_id", cosine: float = COSINE) -> DataFrame:
     """A row for each row: key, n_links (other rows of the same label with at least that cosine), component_id (the smallest key that
     links lead to, itself included) and kept (key = component_id).
@@ -202,70 +285,66 @@ def grouped(df: DataFrame, vector: str = "embedding", label: str = "label", key:
         .select("key", F.col("rep.rid").alias("node"), F.col("rep.none").alias("none"), F.col("rep.id").alias("id"), "n", "v.label", "v.dim", "v.unit")
     )
     total = nodes.df.count()
-    pivots = _pivots(nodes.df, total)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
-                cell, gap = np.zeros(b.num_rows, np.int32), np.full(b.num_rows, 2.0)
-                dims = b.column("dim").to_numpy()
-                for d in np.unique(dims):
-                    if d in pivots:
-                        which = np.flatnonzero(dims == d)
-                        x = np.stack([np.frombuffer(u) for u in b.column("unit").take(pa.array(which)).to_pylist()])
-                        dots = x @ pivots[d].T
-                        cell[which] = dots.argmax(axis=1)
-                        gap[which] = chord(dots.max(axis=1))
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("node", "n", "unit", "dim")], b.column("label").cast(pa.string()), pa.array(cell), pa.array(gap)], ["node", "w", "unit", "dim", "label", "cell", "gap"])
-
-    cells = nodes.df.select("node", "n", "unit", "dim", "label").mapInArrow(placed, "node long, w long, unit binary, dim int, label string, cell int, gap double")
-    cells = cells.withColumn("group", F.concat_ws(":", "dim", "label")).withColumn("place", F.concat_ws(":", "cell", "group")).drop("label")
-    stats = cells.groupBy("place").agg(F.count("*").alias("n"), F.max("gap").alias("reach"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = Held(join_hubs(cells, stats, "place", total).withColumn("block", F.concat_ws(":", F.pmod(F.xxhash64("node"), blocks), "place")).drop("n", "place", "gap"))
-    meta = members.df.groupBy("group", "block").agg(F.first("cell").alias("cell"), F.first("dim").alias("dim"), F.first("reach").alias("reach"))
-    one, two = (meta.select("group", *[F.col(c).alias(f"{c}{s}") for c in ("block", "cell", "dim", "reach")]) for s in "ab")
     bound = float(chord(np.float64(cosine)))
-    between = {d: chord(x @ x.T) for d, x in pivots.items()}
-
-    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = np.ones(b.num_rows, bool)
-            dim, i, j, reach = b.column("dima").to_numpy(), b.column("cella").to_numpy(), b.column("cellb").to_numpy(), b.column("reacha").to_numpy() + b.column("reachb").to_numpy()
-            for d, table in between.items():
-                w = dim == d
-                keep[w] = table[i[w], j[w]] - reach[w] <= bound + SLACK
-            yield b.select(["blocka", "blockb"]).filter(pa.array(keep))
-
-    both = one.join(two, "group").where("blocka <= blockb").select("blocka", "blockb", "dima", "cella", "cellb", "reacha", "reachb")
-    pairs = Held(both.mapInArrow(open_, "blocka string, blockb string"))
-    vectors = members.df.select("block", "node", "w", "unit")
-    left = vectors.withColumnRenamed("block", "blocka").join(pairs.df, "blocka").withColumn("side", F.lit(0))
-    right = vectors.withColumnRenamed("block", "blockb").join(pairs.df.where("blocka != blockb"), "blockb").withColumn("side", F.lit(1))
-
-    def compare(t: pa.Table) -> pa.Table:
-        side, node, weight = t.column("side").to_numpy(), t.column("node").to_numpy(), t.column("w").to_numpy().astype(float)
+    cell = F.concat_ws(":", "dim", F.sha2(F.col("label").cast("string"), 256))
+    members = Held(nodes.df.select("node", F.col("n").alias("w"), "unit", "dim", cell.alias("cell"), F.lit(2.0).alias("gap"), F.lit(None).cast("binary").alias("center"), cell.alias("up")))
+    cells, before = _cells(members.df), float("inf")
+    pairs = Held(cells.df.select(F.col("cell").alias("a"), F.col("cell").alias("b")))
+    for level in range(LEVELS):
+        largest = cells.df.agg(F.max("n")).first()[0] or 0
+        if largest <= 2 * BLOCK or largest > 0.9 * before:  # pivots that hardly cut it again never will
+            break
+        before, old = largest, (members, cells, pairs)
+        members = _split(members.df, cells.df, level)
+        cells = _cells(members.df)
+        one, two = (cells.df.select(F.col("up").alias(s), F.col("cell").alias(f"{s}2"), F.col("center").alias(f"c{s}"), F.col("reach").alias(f"r{s}")) for s in "ab")
+        children = pairs.df.join(one, "a").join(two, "b").where((F.col("a") != F.col("b")) | (F.col("a2") <= F.col("b2")))
+        pairs = Held(_open_pairs(children.select(F.col("a2").alias("a"), F.col("b2").alias("b"), "ca", "cb", (F.col("ra") + F.col("rb")).alias("reach")), bound))
+        for used in old:
+            used.drop()
+
+    # Blocks: small cells as they are; a cell that no pivots made small is cut by hash.
+    parts = F.when(F.col("n") > 2 * BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int")
+    sized = join_hubs(members.df.drop("gap", "center", "up"), cells.df.select("cell", "n"), "cell", total)
+    named = sized.withColumn("block", F.concat_ws(":", F.pmod(F.xxhash64("node"), parts), "cell")).select("block", "node", "w", "unit")
+
+    def build(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
         x = np.stack([np.frombuffer(u) for u in t.column("unit").to_pylist()])
-        trees, nodes_of = [], []
-        for s in np.unique(side):
-            which = np.flatnonzero(side == s)
-            which = which[np.argsort(node[which])]
-            trees.append(tree := CoverTree(x[which], weight[which], bound / 8))
-            nodes_of.append(node[which][tree.order])
-        a, b = trees[0], trees[-1]
-        got_a, got_b, links = dual(a, b, cosine)
-        if len(trees) == 1:
-            every, got = nodes_of[0], got_a - a.w
+        tree = CoverTree(x, t.column("w").to_numpy(), bound / 8)
+        return pa.table({"block": t.column("block").slice(0, 1), "tree": pa.array([tree.packed(t.column("node").to_numpy())], pa.binary())})
+
+    blocks = Held(named.groupBy("block").applyInArrow(build, "block string, tree binary"))
+    numbers = cells.df.select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("k")).select("cell", F.concat_ws(":", "k", "cell").alias("block"))
+    left, right = (numbers.select(F.col("cell").alias(s), F.col("block").alias(f"block{s}")) for s in "ab")
+    met = pairs.df.join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) | (F.col("blocka") < F.col("blockb"))).select("blocka", "blockb")
+
+    def found_in(a: CoverTree, b: CoverTree | None) -> pa.RecordBatch:
+        got_a, got_b, links = dual(a, a if b is None else b, cosine)
+        if b is None:
+            every, got = a.node, got_a - a.w
             links = np.where(links >= len(every), links - len(every), links)
         else:
-            every, got = np.concatenate(nodes_of), np.concatenate([got_a, got_b])
+            every, got = np.concatenate([a.node, b.node]), np.concatenate([got_a, got_b])
         root = every[smallest_label(len(every), links)]
         use = (got > 0.5) | (root != every)
-        return pa.table({"node": every[use], "links": np.rint(got[use]).astype(np.int64), "root": root[use]})
-
-    # Blocks are bounded, so a group here is; the sum of the groups is what the covering radii leave of a label's pairs of blocks.
-    found = Held(left.select("blocka", "blockb", "side", "node", "w", "unit").unionByName(right.select("blocka", "blockb", "side", "node", "w", "unit")).groupBy("blocka", "blockb").applyInArrow(compare, "node long, links long, root long"))
+        return pa.RecordBatch.from_arrays([pa.array(every[use]), pa.array(np.rint(got[use]).astype(np.int64)), pa.array(root[use])], ["node", "links", "root"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.column("tree"):
+                yield found_in(CoverTree.unpacked(row.as_py()), None)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column("treea"), batch.column("treeb"), strict=True):
+                yield found_in(CoverTree.unpacked(one.as_py()), CoverTree.unpacked(two.as_py()))
+
+    both = met.join(blocks.df.select(F.col("block").alias("blocka"), F.col("tree").alias("treea")), "blocka").join(blocks.df.select(F.col("block").alias("blockb"), F.col("tree").alias("treeb")), "blockb")
+    schema = "node long, links long, root long"
+    found = Held(blocks.df.select("tree").mapInArrow(within, schema).unionByName(both.select("treea", "treeb").mapInArrow(across, schema)))
+    for used in (members, cells, pairs, blocks):
+        used.drop()
     roots = components(found.df.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.df.groupBy("node").agg(F.sum("links").alias("links"))
     of = nodes.df.select("key", "node", "none", "id", F.col("n").alias("copies")).join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -274,6 +353,4 @@ def grouped(df: DataFrame, vector: str = "embedding", label: str = "label", key:
     linked = join_hubs(h.where(F.col("key").isNotNull()).select("id", "key"), of, "key", h.count())
     linked = linked.select("id", "n_links", "component_id")
     out = linked.unionByName(h.where(F.col("key").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
-    members.drop()
-    pairs.drop()
     return out.select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -235,10 +235,10 @@ def brute_vectors(data, cosine=0.93):
     return links, root
 
 
-@pytest.mark.parametrize("block,pivots", [(2048, 128), (16, 4)])
-def test_vectors_like_brute_force(spark, monkeypatch, block, pivots):
-    monkeypatch.setattr(embed_dup, "BLOCK", block)
-    monkeypatch.setattr(embed_dup, "PIVOTS", pivots)
+@pytest.mark.parametrize("block,pivots,sample,levels", [(2048, 32, 512, 12), (8, 3, 16, 12), (8, 3, 16, 1)])
+def test_vectors_like_brute_force(spark, monkeypatch, block, pivots, sample, levels):
+    for name, value in (("BLOCK", block), ("PIVOTS", pivots), ("SAMPLE", sample), ("LEVELS", levels)):
+        monkeypatch.setattr(embed_dup, name, value)
     r = np.random.default_rng(6)
     data = []
     for g in range(6):
@@ -278,14 +278,78 @@ def test_cover_tree_holds_its_bounds():
         net = tree.x[:size]
         gaps = np.linalg.norm(net[:, None] - net[None], axis=2) + 9 * np.eye(size)
         assert (np.linalg.norm(tree.x[:, None] - net[None], axis=2).min(axis=1) <= gaps.min() + 1e-9).all()
+    again = embed_dup.CoverTree.unpacked(tree.packed(np.arange(300) * 7))
+    assert (again.x == tree.x).all() and (again.node == tree.order * 7).all() and again.sizes == tree.sizes
+    for name in ("up", "over", "reach", "weight"):
+        assert all((p == q).all() for p, q in zip(getattr(again, name), getattr(tree, name), strict=True)), name
+
+
+def matrix_brute(vectors, labels, cosine=0.93):
+    """Links and components by all products, a label at a time."""
+    x = np.array(vectors, float)
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    links, pairs = np.zeros(len(x), int), []
+    for lab in set(labels):
+        rows = np.flatnonzero(np.array(labels) == lab)
+        near = x[rows] @ x[rows].T >= cosine
+        np.fill_diagonal(near, False)
+        links[rows] = near.sum(axis=1)
+        pairs += [(rows[i], rows[j]) for i, j in np.argwhere(np.triu(near))]
+    return links, united(len(x), pairs)
+
+
+def check_vectors(got, ids, links, root):
+    assert len(got) == len(ids)
+    for k, i in enumerate(ids):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (links[k], ids[root[k]], root[k] == k), i
 
 
 def test_op5_equals_brute_force(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
-    data = [(r.vec_id, r.embedding, r.label) for r in rows]
-    links, root = brute_vectors(data)
-    got = {r.vec_id: r for r in QUERIES["op5_cover_tree_near_dup"](spark, "/root/testdata/sf0.001").collect()}
-    assert all(got[d[0]].n_links == links[k] for k, d in enumerate(data))
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()
+    links, root = matrix_brute([r.embedding for r in rows], [r.label for r in rows])
+    check_vectors({r.vec_id: r for r in QUERIES["op5_cover_tree_near_dup"](spark, "/root/testdata/sf0.001").collect()}, [r.vec_id for r in rows], links, root)
+
+
+def test_op5_with_planted_links_beyond_a_block(spark, tmp_path):
+    """The data's own vectors have no link; here copies, near copies, chains and a dense group are planted among them, 6000 of one label."""
+    r = np.random.default_rng(12)
+    have = np.array([x.embedding for x in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()])
+    scale = np.abs(have).std()
+    base = np.concatenate([have, r.normal(size=(4500, 64)) * scale])
+    near = base[r.integers(0, len(base), 900)] + r.normal(size=(900, 64)) * scale * r.choice([0.02, 0.1, 0.3, 0.38, 0.42], (900, 1))
+    walk = [base[0]]
+    for _ in range(60):
+        walk.append(walk[-1] + r.normal(size=64) * scale * 0.25)
+    dense = base[7] + r.normal(size=(300, 64)) * scale * 0.2
+    every = np.concatenate([base, base[:200], near, walk, dense]).astype(np.float32)
+    every = every[r.permutation(len(every))]
+    labels = np.where(r.random(len(every)) < 0.8, 1, 2)
+    links, root = matrix_brute(every, labels.tolist())
+    assert (labels == 1).sum() > 2 * embed_dup.BLOCK and links.max() > 100 and (links > 0).sum() > 800
+    data = [(i, v.tolist(), int(lab)) for i, (v, lab) in enumerate(zip(every, labels))]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    check_vectors({x.vec_id: x for x in QUERIES["op5_cover_tree_near_dup"](spark, str(tmp_path)).collect()}, list(range(len(every))), links, root)
+
+
+def test_pruned_pairs_of_cells(spark, monkeypatch):
+    """Far clusters: pairs of cells go before their blocks meet."""
+    for name, value in (("BLOCK", 16), ("PIVOTS", 4), ("SAMPLE", 64)):
+        monkeypatch.setattr(embed_dup, name, value)
+    seen, plain = [], embed_dup._open_pairs
+
+    def counted(pairs, bound):
+        out = plain(pairs, bound)
+        seen.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(embed_dup, "_open_pairs", counted)
+    r = np.random.default_rng(13)
+    centers = np.eye(12)
+    vectors = np.concatenate([c + r.normal(size=(60, 12)) * 0.02 for c in centers])
+    data = [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
+    got = {x.vec_id: x for x in embed_dup.grouped(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(x.n_links == 59 and x.component_id == i // 60 * 60 for i, x in got.items())
+    assert min(after / before for before, after in seen) < 0.7
 
 
 def test_a_hot_key_is_joined(spark):
