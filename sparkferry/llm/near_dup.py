@@ -13,8 +13,8 @@ Texts with the same counted shingles are one class. Classes that agree in all re
 candidates are verified by their exact similarity, in three turns, so that a bucket's pairs are never all listed:
 1. each class with one pivot (a bucket's first class): enough to gather most groups;
 2. in small buckets all pairs, in large ones each class with two pivots, unless already gathered;
-3. in large buckets that still hold several groups, block by block of bounded size, by products of the blocks' shingle
-   matrices; only links that join groups leave the task.
+3. in large buckets that still hold several groups, the largest group with all others and those among themselves, block by
+   block of bounded size, by products of the blocks' shingle matrices; only links that join groups leave the task.
 Only links within a group already gathered are left out; groups are the same as by verifying every candidate pair.
 
 There is one plan for every size. Whole texts meet lists of row ids twice (whose shingles are needed, which rows go); there a filter of
@@ -255,8 +255,23 @@ def _joining_pairs(sets: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray,
     return out
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Entries (band, node, root, and of the bucket n, top: its largest group, n_top) dealt to pairs of blocks (band, kind, i, j), so that each
+    pair of different groups meets. Kind `top`: block i of the largest group with block j of the others; kind `rest`: two
+    blocks of the others. So copies of an entry grow with the others, not with the bucket."""
+    top, others = F.col("root") == F.col("top"), F.col("n") - F.col("n_top")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    mine, facing = F.when(top, blocks(F.col("n_top"))).otherwise(blocks(others)), F.when(top, blocks(others)).otherwise(blocks(F.col("n_top")))
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    met = rows.select("band", "node", "root", top.alias("is_top"), place(mine).alias("block"), F.explode(F.sequence(F.lit(0), facing - 1)).alias("other"))
+    met = met.select("band", "node", "root", F.lit("top").alias("kind"), F.when(F.col("is_top"), F.col("block")).otherwise(F.col("other")).alias("i"), F.when(F.col("is_top"), F.col("other")).otherwise(F.col("block")).alias("j"))
+    rest = rows.where(~top & (others > 1)).select("band", "node", "root", place(blocks(others)).alias("block"), F.explode(F.sequence(F.lit(0), blocks(others) - 1)).alias("other"))
+    rest = rest.select("band", "node", "root", F.lit("rest").alias("kind"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return met.unionByName(rest)
+
+
 def _cross_links(rows: DataFrame, least: float, counted: bool) -> DataFrame:
-    """Links (a, b) enough to join all groups that are similar across or within (band, i, j), a pair of blocks."""
+    """Links (a, b) enough to join all groups that are similar across or within (band, kind, i, j), a pair of blocks."""
 
     def run(t: pa.Table) -> pa.Table:
         node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
@@ -266,7 +281,7 @@ def _cross_links(rows: DataFrame, least: float, counted: bool) -> DataFrame:
         links = np.unique(np.sort(root[pairs], axis=1), axis=0) if len(pairs) else np.zeros((0, 2), np.int64)
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
-    return rows.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("band", "kind", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def _groups(h: DataFrame, least: float, counted: bool) -> DataFrame:
@@ -303,18 +318,15 @@ def _groups(h: DataFrame, least: float, counted: bool) -> DataFrame:
     links = done.df.unionByName(more.df).where(F.col("s") >= least).select("a", "b")
     roots = components(links)
 
-    # Large buckets that hold several groups.
+    # Large buckets that hold several groups: what is in the largest one is compared with all others, but not within itself.
     big = rooted(high, "node", "root")
-    split = big.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-    held_split = Held(split)
-    if not held_split.df.isEmpty():
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        rest = big.join(held_split.df, "band", "left_semi").select("band", "node", "root", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        rest = rest.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other").join(sets.df, "node")
-        last = Held(_cross_links(rest, least, counted))
+    groups = big.groupBy("band", "root").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    mixed = Held(groups.groupBy("band").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("groups"), F.first("n").alias("n")).where("groups > 1").select("band", F.col("m.root").alias("top"), F.col("m.c").alias("n_top"), "n"))
+    if not mixed.df.isEmpty():
+        last = Held(_cross_links(_blocks(join_hubs(big.select("band", "node", "root"), mixed.df, "band", total * BANDS)).join(sets.df, "node"), least, counted))
         roots = components(links.unionByName(last.df))
         last.drop()
-    for used in (shared, sets, done, more, held_split):
+    for used in (shared, sets, done, more, mixed):
         used.drop()
 
     of_class = rooted(classes.df.select("node", "none", "id", F.col("n").alias("copies"), "key"), "node", "root")
