@@ -144,3 +144,12 @@ class Held:
         context = self.df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(result: DataFrame) -> None:
+    """Deletes the tables in the shared folder that a result of this package still reads, once nothing needs the result any more."""
+    spark = result.sparkSession
+    context, folder = spark.sparkContext, shared_folder(spark).rstrip("/")
+    for top in {f"{folder}/{m[0]}" for f in result.inputFiles() if (m := re.search(r"sparkferry-[0-9a-f]{32}(?=/)", f))}:
+        path = context._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

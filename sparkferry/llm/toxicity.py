@@ -138,7 +138,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple
 
 
 def boost(x: np.ndarray, y: np.ndarray, aside: np.ndarray, learned: np.ndarray, weight: np.ndarray | None = None) -> Model:
-    """Logistic boosting of trees of DEPTH on histograms of the rows not aside; the rows aside calibrate (all rows, if one class lacks there).
+    """Logistic boosting of trees of DEPTH on histograms of the rows not aside; the rows aside calibrate; where they hold fewer than 30 rows of
+    either label, all rows do, and scores are then surer than they should be, as the trees have seen those rows.
     weight: how many rows each one stands for."""
     fit = ~aside
     weight = np.ones(len(y)) if weight is None else weight

@@ -368,3 +368,18 @@ def test_counted_groups_of_unequal_sets(spark):
     assert probability_jaccard(sets[0], sets[1]) > 0.9 and probability_jaccard(sets[0], sets[2]) < 0.6 and probability_jaccard(sets[1], sets[2]) < 0.6
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_dup.grouped(df, counted=True).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+def test_release(spark, tmp_path):
+    import glob
+
+    from sparkferry.llm import _frames
+
+    there = lambda: set(glob.glob(f"{_frames.shared_folder(spark).removeprefix('file:')}/sparkferry-*"))
+    before = there()
+    out = near_dup.grouped(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"))
+    assert out.count() == 2 and there() - before
+    kept = there() - before
+    _frames.release(out)
+    left = there() - before
+    assert left < kept and not [x for x in left if x in {f.split("/part-")[0].removeprefix("file:") for f in out.inputFiles()}]
