@@ -23,6 +23,8 @@ LEAST_LANGUAGE = 0.25
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that score 0.5 or more. Null and empty texts are scored as having no words, which no label calls toxic, and stay;
+    repeated rows go or stay together; labels of documents that aren't there teach nothing; without labels all stay."""
     from sparkferry.llm.toxicity import learn, score
 
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -30,6 +32,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents in none of the learned languages: null and empty texts, texts without a letter, and those whose n-grams learned
+    texts lack. Repeated rows go or stay together; ties go to the first language by name, so the document stays; where no
+    row has a language to learn from, all go."""
     from sparkferry.llm.lang_id import UNKNOWN, identify, learn
 
     out = identify(docs, learn(docs), keep=tuple(docs.columns), prefix="__language_")
@@ -37,12 +42,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of the smallest key; a null key comes last, and of repeated rows with that key
+    one stays. Null and empty texts are like nothing and stay."""
     from sparkferry.llm.near_dup import deduplicated
 
     return deduplicated(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret replaced by its kind in brackets. n_chars is counted again only where something was replaced; null
+    texts stay null."""
     from sparkferry.llm.secrets import scan
 
     out = scan(docs, keep=tuple(c for c in docs.columns if c != "text"), redacted=True, prefix="__secrets_")
@@ -51,6 +60,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document; a null or empty text is one piece of the end alone, and repeated rows each have their own."""
     from sparkferry.llm.packing import pack
 
     return pack(docs)
