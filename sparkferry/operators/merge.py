@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
-
 def check_columns(dst: DataFrame, src: DataFrame, key: list[str]) -> None:
     """Every key column is in both tables, and src has no column that dst lacks."""
     if missing := [k for k in key if k not in dst.columns or k not in src.columns]:
@@ -16,15 +14,17 @@ def check_columns(dst: DataFrame, src: DataFrame, key: list[str]) -> None:
         raise ValueError(f"the destination lacks the columns {extra}")
 
 
-def upsert(dst: DataFrame, src: DataFrame, key: list[str]) -> DataFrame:
+def upsert(dst: DataFrame, src: DataFrame, key: list[str], order: list[Column] | None = None) -> DataFrame:
     """dst after src has been merged into it by key.
 
     Rows of src replace the columns that src has; columns only dst has keep their value (null for new rows).
     Rows that only dst has stay: nothing is deleted. Null keys match each other. With an empty key src is appended,
     and with nothing but key columns existing rows are left as they are (insert-ignore).
-    src must be unique by key; `latest` makes it so.
+    With `order` the last row of src by it counts for each key; without one src must be unique by key, or its keys' rows multiply.
     """
     check_columns(dst, src, key)
+    if key and order is not None:
+        src = latest(src, key, order)
     if not key:
         return append(dst, src)
     if set(src.columns) == set(key):

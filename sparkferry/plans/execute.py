@@ -32,7 +32,9 @@ class Failed(RuntimeError):
 
 def execute(statements: list[Statement], run: Callable[[str], object], dialect: str) -> int:
     """Runs statements in their order; the number that did something. Tables and columns stop at the first error; a phase
-    of indexes or constraints goes on to its end and then raises all its errors, so that a transaction around it fails."""
+    of indexes or constraints goes on to its end and then raises all its errors, so that a transaction around it fails. PostgreSQL
+    ends a transaction at the first error, so there each statement has a savepoint to go back to."""
+    savepoints = dialect == "postgres"
     done = 0
     errors: list[tuple[Statement, Exception]] = []
     phase = None
@@ -40,10 +42,16 @@ def execute(statements: list[Statement], run: Callable[[str], object], dialect:
         if errors and s.phase != phase:
             break
         phase = s.phase
+        if savepoints:
+            run("SAVEPOINT statement")
         try:
             run(s.sql)
             done += 1
+            if savepoints:
+                run("RELEASE SAVEPOINT statement")
         except Exception as e:
+            if savepoints:
+                run("ROLLBACK TO SAVEPOINT statement")
             if ignorable(str(e), s, dialect):
                 continue
             errors.append((s, e))

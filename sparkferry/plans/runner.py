@@ -28,6 +28,8 @@ from sparkferry.sources.stores import Store, with_retries
 
 Clock = Callable[[], float]
 log = logger("run")
+#: Seconds between a table's reports of progress.
+PROGRESS = 10.0
 
 
 class Late(TimeoutError):
@@ -48,10 +50,14 @@ def jobs_of(spark: SparkSession, name: str, seconds: float, stop: threading.Even
     context, group, over = spark.sparkContext, f"sparkferry-{name}-{uuid.uuid4().hex[:8]}", threading.Event()
 
     def watch() -> None:
-        ends = time.monotonic() + seconds
+        ends, tell = time.monotonic() + seconds, time.monotonic() + PROGRESS
         while not over.wait(0.2):
             if stop.is_set() or time.monotonic() > ends:
                 context.cancelJobGroup(group)
+            elif time.monotonic() > tell:
+                tell += PROGRESS
+                share = progress(spark, group)
+                log.info("progress", extra={"table": name, "percent": None if share is None else round(100 * share, 1)})
 
     context.setJobGroup(group, f"sync of {name}", interruptOnCancel=True)
     watcher = threading.Thread(target=watch, daemon=True)
@@ -95,7 +101,7 @@ def sync_table(source: Store, destination: Store, spec: Table, config: Config, s
         return str(e)
 
     log.info("table begins", extra={"table": spec.name})
-    with jobs_of(source.spark, spec.name, config.table_timeout, stop) as group:
+    with jobs_of(source.spark, spec.name, config.table_timeout, stop):
         try:
             have = destination.describe(spec.name)
             todo = plan(spec, have, config.destination, config.strategy, config.compat, types)
@@ -112,9 +118,8 @@ def sync_table(source: Store, destination: Store, spec: Table, config: Config, s
                 out.data_error = told(e)
             else:
                 out.constraint_error = _constrained(destination, spec, todo, config, in_time, told)
-        share = progress(source.spark, group)
     out.seconds = clock() - began
-    log.log(20 if out.status == "ok" else 30, "table ends", extra={"table": spec.name, "status": out.status, "rows": out.rows, "unfit": out.unfit, "seconds": round(out.seconds, 3), "left_running": share is not None, "error": out.schema_error or out.data_error or out.constraint_error})
+    log.log(20 if out.status == "ok" else 30, "table ends", extra={"table": spec.name, "status": out.status, "rows": out.rows, "unfit": out.unfit, "seconds": round(out.seconds, 3), "error": out.schema_error or out.data_error or out.constraint_error})
     return out, todo
 
 

@@ -60,3 +60,15 @@ def test_errors_of_a_phase_are_gathered():
 )
 def test_ignorable(error, phase, dialect, want):
     assert execute.ignorable(error, ddl.Statement(phase, 0, "x", "X"), dialect) is want
+
+
+def test_savepoints_in_postgres():
+    said = []
+
+    def run(sql):
+        said.append(sql)
+        if sql == "there":
+            raise RuntimeError("ERROR 42P07: relation exists")
+
+    assert execute.execute([ddl.Statement(Phase.CREATE_TABLE, 0, "t", "there"), ddl.Statement(Phase.ADD_INDEX, 0, "i", "new")], run, "postgres") == 1
+    assert said == ["SAVEPOINT statement", "there", "ROLLBACK TO SAVEPOINT statement", "SAVEPOINT statement", "new", "RELEASE SAVEPOINT statement"]

@@ -85,3 +85,10 @@ def test_constraints(spark):
     assert validate.duplicates(twice, ["a", "b"]).count() == 2
     assert validate.duplicates(twice, ["a", "b"], nulls_match=False).count() == 1
     assert [r.id for r in validate.violations(child, "p < 50").collect()] == [2]
+
+
+def test_upsert_by_the_newest_row(spark):
+    dst = spark.createDataFrame([(1, 0, "old"), (2, 0, "old")], "k int, at int, v string")
+    src = spark.createDataFrame([(1, 2, "new"), (1, 1, "middle"), (3, 1, "x")], "k int, at int, v string")
+    out = merge.upsert(dst, src, ["k"], [F.col("at")])
+    assert sorted(map(tuple, out.collect())) == [(1, 2, "new"), (2, 0, "old"), (3, 1, "x")]

@@ -346,3 +346,23 @@ def test_open_store(spark, shop, tmp_path):
     assert open_store(spark, "sqlite", shop).ping() and open_store(spark, "parquet", str(tmp_path)).tables() == []
     jdbc = open_store(spark, "postgres", "jdbc:postgresql://h/d", "u", "p", pool=4)
     assert jdbc.partitions == 4 and jdbc.options == {"user": "u", "password": "p", "stringtype": "unspecified"}
+
+
+def test_command_line(shop, copy, capsys, spark):
+    from sparkferry.__main__ import main
+
+    env = {"SYNC_DIRECTION": "sqlite-to-sqlite", "DST_URL": copy, "RETRIES": "0"}
+    assert main(["--source", shop, "--tables", "users,fixed,none", "--workers", "1", "--metrics-port", "0"], env) == 0
+    assert capsys.readouterr().out.splitlines() == ["fixed\tok\t1\t", "none\tskipped\t0\tno such table", "users\tok\t3\t"]
+    assert all_rows(copy, "select count(*) from users") == [(3,)]
+    assert main(["--direction", "mysql-to-postgres", "--source", "jdbc:x", "--destination", "jdbc:y"], {"RETRIES": "0"}) == 1
+    with pytest.raises(SystemExit):
+        main([], {"SYNC_DIRECTION": "sqlite-to-sqlite"})
+
+
+def test_progress_is_logged(spark, shop, tmp_path, monkeypatch, caplog):
+    monkeypatch.setattr(runner, "PROGRESS", 0.3)
+    monkeypatch.setattr(logging.getLogger("sparkferry"), "propagate", True)
+    with caplog.at_level(logging.INFO, "sparkferry"), runner.jobs_of(spark, "t", 60, threading.Event()):
+        spark.range(2).select(F.expr("reflect('java.lang.Thread', 'sleep', 1500L)")).write.format("noop").mode("overwrite").save()
+    assert any(r.msg == "progress" and r.table == "t" for r in caplog.records)
