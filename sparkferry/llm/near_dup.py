@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkferry.llm._frames import Held, pick, ship, slices, text_offsets, with_ids, without_ids
+from sparkferry.llm._frames import Held, pick, release, ship, slices, text_offsets, with_ids, without_ids
 from sparkferry.llm._words import folded, mix, words
 from sparkferry.llm.components import components, join_hubs
 
@@ -315,6 +315,7 @@ def _groups(h: DataFrame, least: float, counted: bool) -> DataFrame:
     stars = high.select(F.col("p1").alias("a"), F.col("node").alias("b")).unionByName(high.select(F.col("node").alias("a"), F.col("p2").alias("b"))).where("a < b").distinct()
     open_ = rooted(rooted(small, "a", "ra"), "b", "rb").where("ra != rb").select("a", "b").unionByName(stars).distinct().join(done.df.select("a", "b"), ["a", "b"], "left_anti")
     more = Held(_verified(open_, sets.df, counted))
+    release(roots)
     links = done.df.unionByName(more.df).where(F.col("s") >= least).select("a", "b")
     roots = components(links)
 
@@ -324,7 +325,9 @@ def _groups(h: DataFrame, least: float, counted: bool) -> DataFrame:
     mixed = Held(groups.groupBy("band").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("groups"), F.first("n").alias("n")).where("groups > 1").select("band", F.col("m.root").alias("top"), F.col("m.c").alias("n_top"), "n"))
     if not mixed.df.isEmpty():
         last = Held(_cross_links(_blocks(join_hubs(big.select("band", "node", "root"), mixed.df, "band", total * BANDS)).join(sets.df, "node"), least, counted))
-        roots = components(links.unionByName(last.df))
+        final = components(links.unionByName(last.df))
+        release(roots)
+        roots = final
         last.drop()
     for used in (shared, sets, done, more, mixed):
         used.drop()
@@ -362,4 +365,5 @@ def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", similar
     h = Held(_signed(wide.drop(places[text]), counted)).df
     classes = _groups(h, least_jaccard(similar, measure), counted).select("key", "n", "keeper")
     gone = Held(join_hubs(h.where(F.col("key").isNotNull()).select("rid", "key"), classes, "key", h.count()).where("keeper != rid").select("rid"))
+    release(classes)
     return without_ids(h, gone.df, "rid").select(*[F.col("text__" if c == text else k).alias(c) for k, c in names.items()])
