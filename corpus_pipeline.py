@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkferry.llm._frames import Held
+from sparkferry.llm._frames import Held, release
 
 #: A text in none of the learned languages scores 0; the best of K languages' regressions scores others at 1 / K or more.
 LEAST_LANGUAGE = 0.25
@@ -73,7 +73,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. Each stage's tables go when the next one's are written; the result reads those of the last but one (`release` deletes them)."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = Held(stage(spark, docs, sf_dir)).df
+        out = stage(spark, docs, sf_dir)
+        now = Held(out)
+        release(out)
+        if held is not None:
+            held.drop()
+        held, docs = now, now.df
     return STAGES[-1][1](spark, docs, sf_dir)
