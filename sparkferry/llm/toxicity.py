@@ -10,6 +10,7 @@ Learning takes a bounded sample of labelled rows, held once in the shared folder
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -121,6 +122,8 @@ class Model:
 
 
 DEPTH, ROUNDS, RATE, BINS, LEAST, PENALTY = 3, 60, 0.15, 32, 10, 1.0
+#: Parts of the rows that trees are fitted on.
+FOLDS = 3
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -212,35 +215,53 @@ def _sample(df: DataFrame, labels: DataFrame, text: str, key: str, label: str, m
 def learn(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_rows: int = 5000, lexicon: int = 500) -> Model:
     """A model learned from at most about `max_rows` labelled rows of either label that aren't held out.
 
+    A quarter of them is set aside for calibration. The others are in FOLDS parts: what the trees see of a row is counted with a lexicon
+    that the other parts chose, as a word that happened to be in toxic rows only looks certain in the rows that chose it.
+    Later texts are counted with the lexicon of all parts.
+
     Each row weighs as many as it stands for, so that scores are probabilities at the labels' own rates whatever `max_rows` is.
     Of repeated labels of a key the largest counts. Without labelled texts every score is 0, and with one label only it is that label.
     """
     ship(df.sparkSession)
     sample = _sample(df, labels, text, key, label, max_rows)
-    hashes, place = "y int, aside boolean, h long", F.pmod(F.xxhash64("key", F.lit("aside")), F.lit(4)) == 0
-    rows = sample.df.select("y", place.alias("aside"), "text", "weight")
+    aside = F.pmod(F.xxhash64("key", F.lit("aside")), F.lit(4)) == 0
+    fold = F.when(aside, F.lit(FOLDS)).otherwise(F.pmod(F.xxhash64("key", F.lit("fold")), F.lit(FOLDS))).cast("int")
+    rows = sample.df.select("y", fold.alias("fold"), "text", "weight")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 doc, _, _, h, stems = words(*text_offsets(b.column("text")), stem=STEM)
                 pairs = np.unique(np.rec.fromarrays([np.concatenate([doc, doc]), np.concatenate([h, mix(stems)])], names="d,h"))
-                yield pa.RecordBatch.from_arrays([b.column("y").take(pa.array(pairs.d)), b.column("aside").take(pa.array(pairs.d)), pa.array(pairs.h.view(np.int64))], ["y", "aside", "h"])
-
-    # The lexicon is chosen by rows that don't calibrate, so that calibration sees what later texts show.
-    found = rows.mapInArrow(seen, hashes).where(~F.col("aside")).groupBy("h").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    totals = rows.where(~F.col("aside")).agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).first()
-    ta, tb = (totals.a or 0), (totals.b or 0)
-    odds = F.log((F.col("a") + 0.5) / (ta + 1.0)) - F.log((F.col("b") + 0.5) / (tb + 1.0))
-    best = found.where((F.col("a") >= max(4, ta // 400)) & (odds > 2.5)).orderBy(odds.desc(), "h").limit(lexicon).collect()
-    learned = np.unique(np.array([r.h for r in best], np.int64).view(np.uint64)) if best else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([b.column("y").take(pa.array(pairs.d)), b.column("fold").take(pa.array(pairs.d)), pa.array(pairs.h.view(np.int64))], ["y", "fold", "h"])
+
+    # Toxic and other rows with a word, in all parts but one, and in all: calibration sees what later texts show.
+    counts = lambda f: [F.sum(F.when(F.col("fold") != f, F.col("y"))).alias(f"a{f}"), F.sum(F.when(F.col("fold") != f, 1 - F.col("y"))).alias(f"b{f}")]
+    every = [c for f in range(FOLDS + 1) for c in counts(f)]
+    found = rows.where(F.col("fold") < FOLDS).mapInArrow(seen, "y int, fold int, h long").groupBy("h").agg(*every)
+    totals = rows.where(F.col("fold") < FOLDS).agg(*every).first()
+    chosen = []
+    for f in range(FOLDS + 1):
+        ta, tb = (totals[f"a{f}"] or 0), (totals[f"b{f}"] or 0)
+        a, b = F.coalesce(f"a{f}", F.lit(0)), F.coalesce(f"b{f}", F.lit(0))
+        odds = F.log((a + 0.5) / (ta + 1.0)) - F.log((b + 0.5) / (tb + 1.0))
+        best = found.select(F.lit(f).alias("f"), "h", odds.alias("odds")).where((a >= max(4, ta // 400)) & (odds > 2.5))
+        chosen.append(best.orderBy(F.desc("odds"), "h").limit(lexicon))
+    held = Held(functools.reduce(DataFrame.unionByName, chosen))
+    best = held.df.collect()  # at most `lexicon` for each part, and for all
+    held.drop()
+    lists = [np.unique(np.array([r.h for r in best if r.f == f], np.int64).view(np.uint64)) for f in range(FOLDS + 1)]
+    learned = lists[FOLDS]
     names = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("aside", T.BooleanType()), T.StructField("x", T.BinaryType()), T.StructField("weight", T.DoubleType())])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
-                x = features(*text_offsets(b.column("text")), learned)
-                yield pa.RecordBatch.from_arrays([b.column("y"), b.column("aside"), pa.array([r.tobytes() for r in x], pa.binary()), b.column("weight")], ["y", "aside", "x", "weight"])
+            for part in slices(whole, "text"):
+                folds = part.column("fold").to_numpy()
+                for f in np.unique(folds).tolist():
+                    b = part.filter(pa.array(folds == f))
+                    x = features(*text_offsets(b.column("text")), lists[f])
+                    yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(np.full(b.num_rows, f == FOLDS)), pa.array([r.tobytes() for r in x], pa.binary()), b.column("weight")], ["y", "aside", "x", "weight"])
 
     got = sorted(((bytes(r.x), r.y, r.aside, r.weight) for r in rows.mapInArrow(vectors, names).collect()), key=lambda r: r)
     sample.drop()
